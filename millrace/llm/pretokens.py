@@ -1,9 +1,9 @@
 """Byte-level BPE by whole pre-tokens: a shared table, a bounded cache in each Python worker, the tokenizers library for the rest.
 
 A byte-level BPE encodes each pre-token on its own, so a text's ids are its pre-tokens' ids one after
-another. The pattern is the public one of this tokenizer family. Texts for which that isn't known to
+another. The pattern and the letters that stand for bytes are the public ones of this tokenizer family. Texts for which that isn't known to
 hold go to the library whole: those that hold the string of an added token, and those with a code point
-that the two regular-expression engines may class differently (unassigned in this Python's Unicode).
+that the two regular-expression engines may class differently (unassigned in this Python's Unicode), or a lone surrogate.
 """
 
 from __future__ import annotations
@@ -39,25 +39,84 @@ def load(vocabulary: str):
     return tokenizer
 
 
+def byte_letters() -> str:
+    """The letter that stands for each byte in such vocabularies: printable Latin-1 characters for themselves, the others by the letters from U+0100 on, in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in own else next(others)) for b in range(256))
+
+
 class _Cache(dict):
-    """Pre-token to value; starts from a table, encodes what it misses, starts again from the table at its bound."""
+    """Key to value in two generations: at its bound the present one becomes the old one, from which what is met again is taken over."""
 
-    def __init__(self, encode, table: dict, most: int):
-        super().__init__(table)
-        self.encode, self.table, self.most = encode, table, most
+    def __init__(self, most: int, table: dict | None = None):
+        super().__init__(table or {})
+        self.most, self.old = most, {}
 
-    def __missing__(self, pretoken: str):
+    def put(self, key: str, value):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-            self.update(self.table)
-        value = self[pretoken] = self.encode(pretoken)
+        self[key] = value
         return value
 
 
+class _Pretokens(_Cache):
+    """Pre-token to value; encodes what it misses."""
+
+    def __init__(self, encode, most: int, table: dict | None = None):
+        super().__init__(most, table)
+        self.encode = encode
+
+    def __missing__(self, pretoken: str):
+        value = self.old.get(pretoken)
+        return self.put(pretoken, self.encode(pretoken) if value is None else value)
+
+
+#: Marks that make a pre-token of their own behind a letter.
+MARKS = frozenset(",.;:!?)")
+
+
+class _Uneven(Exception):
+    """A text with a white-space run that holds a space and more: its spaces don't all begin a pre-token."""
+
+
+class _Units(_Cache):
+    """What stands between two spaces to the value of it with the space before it: the sum of its pre-tokens' values.
+
+    A single space before anything else always begins a pre-token, so a text falls apart there. A unit of letters is one pre-token and kept; so is one of letters with a
+    mark at its end, put together from both. Others are taken to pieces, and kept unless they go over a line's end: such are rarely met again.
+    """
+
+    def __init__(self, pieces, value: _Pretokens, add, most: int):
+        super().__init__(most, {w[1:]: v for w, v in value.items() if w[0] == " " and w[1:].isalpha()})
+        self.pieces, self.value, self.add = pieces, value, add
+
+    def __missing__(self, unit: str):
+        if unit.isalpha():
+            value = self.old.get(unit)
+            return self.put(unit, self.value.encode(" " + unit) if value is None else value)
+        if unit[-1:] in MARKS and unit[:-1].isalpha():
+            return self.put(unit, self[unit[:-1]] + self.value[unit[-1]]) if unit[:-1] in self else self[unit[:-1]] + self.value[unit[-1]]
+        if not unit or unit[0].isspace() or unit[-1].isspace():
+            raise _Uneven
+        value = self.old.get(unit)
+        if value is None:
+            value = self.add(map(self.value.__getitem__, self.pieces(" " + unit)))
+        return value if "\n" in unit else self.put(unit, value)
+
+    def of(self, text: str):
+        first, *rest = text.split(" ")
+        try:
+            return self.add((self.add(map(self.value.__getitem__, self.pieces(first))), self.add(map(self.__getitem__, rest))))
+        except _Uneven:
+            return self.add(map(self.value.__getitem__, self.pieces(text)))
+
+
 class Encoder:
     """Counts and encodes texts in one worker. table: lengths of frequent pre-tokens (tier one)."""
 
-    def __init__(self, vocabulary: str, table: dict[str, int] | None = None, most: int = 1_000_000):
+    def __init__(self, vocabulary: str, table: dict[str, int] | None = None, most: int = 500_000):
         import numpy as np
 
         self.tokenizer = load(vocabulary)
@@ -65,9 +124,15 @@ class Encoder:
         self.doubtful = regex.compile(f"[{chr(FIRST_DOUBTFUL)}-{chr(0x10FFFF)}]")
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        one = self.tokenizer.encode
-        self.length = _Cache(lambda w: len(one(w, add_special_tokens=False)), table or {}, most)
-        self.bytes = _Cache(lambda w: np.array(one(w, add_special_tokens=False).ids, self.dtype).tobytes(), {}, most // 2)
+        model, letters = self.tokenizer.model.tokenize, byte_letters()
+
+        def tokens(pretoken: str) -> list:
+            return model(pretoken.encode().decode("latin-1").translate(letters))
+
+        self.length = _Pretokens(lambda w: len(tokens(w)), most // 4, table)
+        self.bytes = _Pretokens(lambda w: np.array([t.id for t in tokens(w)], self.dtype).tobytes(), most // 4)
+        self.length_units = _Units(self.pieces, self.length, sum, most)
+        self.bytes_units = _Units(self.pieces, self.bytes, b"".join, most)
 
     def plain(self, text: str) -> bool:
         """Whether the text may be encoded by its pre-tokens."""
@@ -75,13 +140,13 @@ class Encoder:
             return False
         if text.isascii() or not self.doubtful.search(text):
             return True
-        return all(unicodedata.category(c) != "Cn" for c in set(text))
+        return all(unicodedata.category(c) not in ("Cn", "Cs") for c in set(text))
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
         if self.plain(text):
-            return sum(map(self.length.__getitem__, self.pieces(text)))
+            return self.length_units.of(text)
         return len(self.tokenizer.encode(text, add_special_tokens=False))
 
     def ids(self, text: str | None) -> bytes:
@@ -91,7 +156,7 @@ class Encoder:
         if not text:
             return b""
         if self.plain(text):
-            return b"".join(map(self.bytes.__getitem__, self.pieces(text)))
+            return self.bytes_units.of(text)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
 
