@@ -16,6 +16,7 @@ import heapq
 import uuid
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -32,7 +33,7 @@ ORDERS = 3
 #: Slots of a table that travel together.
 BLOCK = 1 << 14
 #: Symbols of a text between two refinements of its weights.
-STEP = 48
+STEP = 64
 #: Confidence of a predictor by the bits it has seen: below each bound, one step.
 SEEN = np.array([1, 3, 12])
 #: First weights of the short and the long context by confidence, between words and inside a spelled one; order 0 has what is left to 1.
@@ -152,7 +153,7 @@ class Coder:
         return [-(-(len(self.code.first) - 2) // BLOCK) * BLOCK, *[max(BLOCK, 1 << self.slot_bits)] * (ORDERS - 1)]
 
 
-def _batches_of_texts(texts: list[str | None], words: dict[bytes, int], most: int = 40_000):
+def _batches_of_texts(texts: list[str | None], words: dict[bytes, int], most: int = 100_000):
     """Groups of (words, their symbols or None) of whole texts, about `most` symbols each."""
     group, size = [], 0
     for i, t in enumerate(texts):
@@ -212,7 +213,7 @@ class Model:
             return np.zeros(0), np.zeros(0)
         size = np.array([len(t) for t in texts])
         starts = np.r_[0, np.cumsum(size)[:-1]]
-        symbols = np.fromiter((s for t in texts for s in t), np.int64, int(size.sum()))
+        symbols = np.fromiter(chain.from_iterable(texts), np.int64, int(size.sum()))
         one, two = self.coder.contexts(symbols, starts)
         text = np.repeat(np.arange(len(texts)), size)
         # what a symbol's probability is added to: its text, or the word that it spells
@@ -222,34 +223,40 @@ class Model:
         order = np.argsort(step, kind="stable")  # step by step over all texts
         bit, slots, n = self.coder.slots(symbols[order], one[order], two[order])
         entry = [t[s] for t, s in zip(self.tables, slots, strict=True)]
-        odds = [(e >> 2).astype(np.float32) / np.float32(1024) for e in entry]
         gate = (entry[1] & 3) * 4 + (entry[2] & 3) + np.repeat(16 * inside(symbols[order]), n)
         at = np.repeat(text[order] * GATES, n) + gate
-        owner = np.repeat(owner[order], n)
-        sign = 1 - 2 * bit.astype(np.float32)
+        base, *more = (np.multiply(e >> 2, np.float32(1 / 1024), dtype=np.float32) for e in entry)
+        # the weights sum to 1, so each context adds what it says beyond the node alone
+        more = [x - base for x in more]
+        sign = 2 * bit.astype(np.float32) - 1
         weights = [np.tile(w, len(texts)) for w in first_weights()]
-        bounds = np.r_[0, np.cumsum(np.bincount(np.repeat(step[order], n)))]
+        right = np.empty(len(sign), np.float32)
+        bounds = np.r_[0, np.cumsum(np.bincount(np.repeat(step[order], n)))].tolist()
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             here = at[lo:hi]
-            x = [o[lo:hi] for o in odds]
-            z = weights[0][here] * x[0]
-            for w, xi in zip(weights[1:], x[1:], strict=True):
-                z += w[here] * xi
+            z = base[lo:hi].copy()
+            for w, x in zip(weights, more, strict=True):
+                z += w[here] * x[lo:hi]
+            z *= sign[lo:hi]
             np.clip(z, -11, 11, out=z)
-            wrong = 1 / (1 + np.exp(-z * sign[lo:hi]))  # the probability of the other bit
-            out += np.bincount(owner[lo:hi], np.log1p(-wrong), len(out))
-            pull = wrong * sign[lo:hi] * np.float32(-RATE)
-            for w, xi in zip(weights, x, strict=True):
-                w += np.bincount(here, pull * xi, len(w)).astype(np.float32)
+            np.exp(z, out=z)
+            z += 1
+            np.divide(1, z, out=z)  # the probability of the other bit
+            np.subtract(1, z, out=right[lo:hi])
+            z *= sign[lo:hi]
+            z *= RATE
+            for w, x in zip(weights, more, strict=True):
+                w += np.bincount(here, z * x[lo:hi], len(w))
+        out += np.bincount(np.repeat(owner[order], n), np.log(right), len(out))
         out /= np.log(10)
         return out[: len(texts)], out[len(texts) :]
 
 
 def first_weights() -> list[np.ndarray]:
-    """By order: a weight for each gate."""
+    """For the short and the long context: a weight for each gate."""
     one = np.repeat(FIRST_WEIGHTS[:, 0], 4, axis=1).ravel()
     two = np.tile(FIRST_WEIGHTS[:, 1], 4).ravel()
-    return [(1 - one - two).astype(np.float32), one.astype(np.float32), two.astype(np.float32)]
+    return [one.astype(np.float32), two.astype(np.float32)]
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -336,16 +343,20 @@ def _tables(rows: DataFrame, coder: Coder) -> list[np.ndarray]:
 
         coder = _mine(key, sent)
         sums = [np.zeros(2 * n, np.uint32) for n in sizes]
+        seen = np.zeros(len(coder.code.first) - 1, np.int64)
         for b in batches:
             for group in _batches_of_texts(b.column("text").to_pylist(), coder.words, 400_000):
                 texts = [coder.symbols(w, at) for _, w, at in group]
                 size = np.array([len(t) for t in texts])
-                symbols = np.fromiter((s for t in texts for s in t), np.int64, int(size.sum()))
+                symbols = np.fromiter(chain.from_iterable(texts), np.int64, int(size.sum()))
                 one, two = coder.contexts(symbols, np.r_[0, np.cumsum(size)[:-1]])
+                seen += np.bincount(symbols, minlength=len(seen))
                 for lo in range(0, len(symbols), 50_000):
                     bit, slots, _ = coder.slots(symbols[lo : lo + 50_000], one[lo : lo + 50_000], two[lo : lo + 50_000])
-                    for n, s in zip(sums, slots, strict=True):
+                    for n, s in zip(sums[1:], slots[1:], strict=True):
                         np.add.at(n, 2 * s.astype(np.int64) + bit, np.uint32(1))
+        # the node alone: each symbol's decisions, as often as it was seen
+        sums[0] += np.bincount(coder.code.path, np.repeat(seen, np.diff(coder.code.first)), len(sums[0])).astype(np.uint32)
         for order, n in enumerate(sums):
             blocks = n.reshape(-1, 2 * BLOCK)
             some = np.flatnonzero(blocks.any(1))
