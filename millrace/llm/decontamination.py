@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 PIECE = 64  # tokens of an indexed piece; passages hold twice as many and begin every PIECE tokens, so each piece's length lies whole in one
-BLOCK = 64  # postings of a block
+BLOCK = 16  # postings of a block
+MOST_BLOCKS = 256  # columns of the table of blocks' greatest weights
+LONG = 1 << 16  # tokens of a text looked at together
 
 
 def token_key(token: str) -> str:
@@ -81,36 +83,53 @@ class Index:
                 best[p] += w
         #: By term: pieces, weights, greatest weight, and of each block the last piece and the greatest weight.
         self.postings = {}
-        self.most = np.zeros(len(self.terms))
         for x, of in weights.items():
             ps, ws = [p for p, _ in of], [w / best[p] for p, w in of]
             last = [ps[min(i + BLOCK, len(ps)) - 1] for i in range(0, len(ps), BLOCK)]
             top = [max(ws[i : i + BLOCK]) for i in range(0, len(ws), BLOCK)]
             self.postings[x] = ps, ws, max(ws), last, top
-            self.most[x] = max(ws)
-        # frequent terms together can give a piece no more than this, however many of them a passage holds
-        common = {x for x, of in weights.items() if len(of) > max(2, len(pieces) // 20)}
-        given = [0.0] * len(pieces)
-        for x in common:
-            for p, w in weights[x]:
-                given[p] += w / best[p]
-        self.common_most = max(given, default=0.0)
-        self.rare_most = self.most.copy()
-        self.rare_most[list(common)] = 0.0
-
-    def passages(self, ids: np.ndarray) -> list[int]:
-        """Starts of the passages of a text that may reach the threshold: those whose terms' greatest weights do. ids: its tokens, -1 where unknown."""
-        known = np.where(ids >= 0, ids, 0)
-        rare = np.where(ids >= 0, self.rare_most[known], 0.0) if len(self.terms) else np.zeros(len(ids))
-        sums = np.concatenate([[0.0], np.cumsum(rare)])
-        starts = np.arange(0, max(1, len(ids) - PIECE), PIECE)
-        held = sums[np.minimum(starts + 2 * PIECE, len(ids))] - sums[starts]
-        return starts[held >= self.threshold - self.common_most - 1e-9].tolist()
-
-    def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """Every piece that a passage with these distinct terms reaches the threshold with, and its score: block-max WAND with a fixed threshold."""
-        least = self.threshold - 1e-9
-        cursors = [[self.postings[x][0][0], 0, self.postings[x]] for x in terms]
+        # Blocks of pieces, at most MOST_BLOCKS: by term and block the greatest weight. Frequent terms are left out there; what they can
+        # give any piece of the block together, however many of them a passage holds, is a constant of the block.
+        n = len(pieces)
+        self.wide = max(4, -(-n // MOST_BLOCKS))
+        self.n_blocks = -(-n // self.wide)
+        self.block_most = np.zeros((len(self.terms) + 1, self.n_blocks), np.float32)  # the last row is that of no term
+        given = np.zeros(n)
+        for x, (ps, ws, *_) in self.postings.items():
+            if len(ps) > max(2, n // 50):
+                given[ps] += ws
+            else:
+                np.maximum.at(self.block_most[x], np.array(ps) // self.wide, np.array(ws, np.float32))
+        self.common_most = np.array([given[i : i + self.wide].max() for i in range(0, n, self.wide)])
+
+    def passages(self, ids: np.ndarray) -> dict[int, list[int]]:
+        """By the start of a passage: the blocks of which it may reach a piece, going by the greatest weights of its terms. ids: a text's tokens, -1 where unknown."""
+        out: dict[int, list[int]] = {}
+        if not len(ids) or not self.n_blocks:
+            return out
+        least = self.threshold - 1e-5 - self.common_most
+        for at in range(0, len(ids), LONG):  # a long text in parts that overlap by a passage
+            part = ids[at : at + LONG + 2 * PIECE]
+            held = np.add.reduceat(self.block_most[part], np.arange(0, len(part), PIECE), axis=0)
+            held[:-1] += held[1:]
+            # counted once for each time a term stands there, which can only be too much; then once for each term
+            for k in np.flatnonzero((held >= least).any(1)).tolist():
+                lo = at + k * PIECE
+                here = np.unique(ids[lo : lo + 2 * PIECE])
+                blocks = np.flatnonzero(self.block_most[here].sum(0) >= least)
+                if len(blocks):
+                    out[lo] = blocks.tolist()
+        return out
+
+    def search(self, terms: list[int], block: int) -> list[tuple[int, float]]:
+        """Every piece of a block that a passage with these distinct terms reaches the threshold with, and its score: block-max WAND with a fixed threshold."""
+        least, end = self.threshold - 1e-9, (block + 1) * self.wide
+        cursors = []
+        for x in terms:
+            of = self.postings[x]
+            at = bisect_left(of[0], block * self.wide)
+            if at < len(of[0]) and of[0][at] < end:
+                cursors.append([of[0][at], at, of])
         found = []
         while cursors:
             cursors.sort(key=lambda c: c[0])
@@ -130,24 +149,24 @@ class Index:
                 to = min([c[2][3][b] for c, b in zip(cursors, blocks, strict=False) if b < len(c[2][3])] or [pivot]) + 1
                 if k + 1 < len(cursors):
                     to = min(to, cursors[k + 1][0])
-                cursors = self._move(cursors, k, max(to, pivot + 1))
+                cursors = self._move(cursors, k, max(to, pivot + 1), end)
             elif cursors[0][0] == pivot:
                 score = sum(c[2][1][c[1]] for c in cursors[: k + 1])
                 if score >= least:
                     found.append((pivot, score))
-                cursors = self._move(cursors, k, pivot + 1)
+                cursors = self._move(cursors, k, pivot + 1, end)
             else:
-                cursors = self._move(cursors, k, pivot)
+                cursors = self._move(cursors, k, pivot, end)
         return found
 
     @staticmethod
-    def _move(cursors: list, k: int, to: int) -> list:
-        """Moves cursors 0 to k to the first piece at or after to; drops those at their end."""
+    def _move(cursors: list, k: int, to: int, end: int) -> list:
+        """Moves cursors 0 to k to the first piece at or after to; drops those that come to end."""
         kept = []
         for i, c in enumerate(cursors):
             if i <= k and c[0] < to:
                 c[1] = bisect_left(c[2][0], to, c[1])
-                if c[1] == len(c[2][0]):
+                if c[1] == len(c[2][0]) or c[2][0][c[1]] >= end:
                     continue
                 c[0] = c[2][0][c[1]]
             kept.append(c)
@@ -156,9 +175,10 @@ class Index:
     def matches(self, ids: np.ndarray, overlap: float) -> list[tuple]:
         """(item id, score, question overlap, answer overlap) of each item that a text of these tokens holds."""
         best: dict[int, float] = {}
-        for lo in self.passages(ids):
+        for lo, blocks in self.passages(ids).items():
             here = np.unique(ids[lo : lo + 2 * PIECE])
-            for piece, score in self.search(here[here >= 0].tolist()):
+            terms = here[here >= 0].tolist()
+            for piece, score in (x for block in blocks for x in self.search(terms, block)):
                 item = self.owner[piece]
                 best[item] = max(best.get(item, 0.0), score)
         if not best:
