@@ -135,7 +135,7 @@ class Coder:
         """For each decision of the symbols: its bit, its slot in each table; and each symbol's number of decisions."""
         n = self.code.first[symbols + 1] - self.code.first[symbols]
         ends = np.cumsum(n)
-        place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.code.first[symbols] - (ends - n), n)
+        place = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32) + np.repeat((self.code.first[symbols] - (ends - n)).astype(np.int32), n)
         taken = self.code.path[place]
         node = taken >> 1
         salted = node.astype(np.uint32) * np.uint32(0x27D4EB2F)
@@ -153,7 +153,7 @@ class Coder:
         return [-(-(len(self.code.first) - 2) // BLOCK) * BLOCK, *[max(BLOCK, 1 << self.slot_bits)] * (ORDERS - 1)]
 
 
-def _batches_of_texts(texts: list[str | None], words: dict[bytes, int], most: int = 100_000):
+def _batches_of_texts(texts: list[str | None], words: dict[bytes, int], most: int = 60_000):
     """Groups of (words, their symbols or None) of whole texts, about `most` symbols each."""
     group, size = [], 0
     for i, t in enumerate(texts):
@@ -221,33 +221,31 @@ class Model:
         out = np.zeros(len(texts) + int((symbols == ESCAPE).sum()))
         step = (np.arange(len(symbols)) - starts[text]) // STEP
         order = np.argsort(step, kind="stable")  # step by step over all texts
-        bit, slots, n = self.coder.slots(symbols[order], one[order], two[order])
-        entry = [t[s] for t, s in zip(self.tables, slots, strict=True)]
-        gate = (entry[1] & 3) * 4 + (entry[2] & 3) + np.repeat(16 * inside(symbols[order]), n)
-        at = np.repeat(text[order] * GATES, n) + gate
-        base, *more = (np.multiply(e >> 2, np.float32(1 / 1024), dtype=np.float32) for e in entry)
-        # the weights sum to 1, so each context adds what it says beyond the node alone
-        more = [x - base for x in more]
-        sign = 2 * bit.astype(np.float32) - 1
+        symbols, one, two, text, owner, step = (x[order] for x in (symbols, one, two, text, owner, step))
         weights = [np.tile(w, len(texts)) for w in first_weights()]
-        right = np.empty(len(sign), np.float32)
-        bounds = np.r_[0, np.cumsum(np.bincount(np.repeat(step[order], n)))].tolist()
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            here = at[lo:hi]
-            z = base[lo:hi].copy()
+        bounds = np.r_[0, np.cumsum(np.bincount(step))].tolist()
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):  # small enough to stay in a core's cache
+            bit, slots, n = self.coder.slots(symbols[lo:hi], one[lo:hi], two[lo:hi])
+            entry = [t[s] for t, s in zip(self.tables, slots, strict=True)]
+            here = np.repeat(text[lo:hi] * GATES + 16 * inside(symbols[lo:hi]), n)
+            here += (entry[1] & 3) * 4 + (entry[2] & 3)
+            z, *more = (np.multiply(e >> 2, np.float32(1 / 1024), dtype=np.float32) for e in entry)
+            # the weights sum to 1, so each context adds what it says beyond the node alone
+            for x in more:
+                x -= z
             for w, x in zip(weights, more, strict=True):
-                z += w[here] * x[lo:hi]
-            z *= sign[lo:hi]
+                z += w[here] * x
+            sign = 2 * bit.astype(np.float32) - 1
+            z *= sign
             np.clip(z, -11, 11, out=z)
             np.exp(z, out=z)
             z += 1
             np.divide(1, z, out=z)  # the probability of the other bit
-            np.subtract(1, z, out=right[lo:hi])
-            z *= sign[lo:hi]
+            out += np.bincount(np.repeat(owner[lo:hi], n), np.log(1 - z), len(out))
+            z *= sign
             z *= RATE
             for w, x in zip(weights, more, strict=True):
-                w += np.bincount(here, z * x[lo:hi], len(w))
-        out += np.bincount(np.repeat(owner[order], n), np.log(right), len(out))
+                w += np.bincount(here, z * x, len(w))
         out /= np.log(10)
         return out[: len(texts)], out[len(texts) :]
 
@@ -351,8 +349,8 @@ def _tables(rows: DataFrame, coder: Coder) -> list[np.ndarray]:
                 symbols = np.fromiter(chain.from_iterable(texts), np.int64, int(size.sum()))
                 one, two = coder.contexts(symbols, np.r_[0, np.cumsum(size)[:-1]])
                 seen += np.bincount(symbols, minlength=len(seen))
-                for lo in range(0, len(symbols), 50_000):
-                    bit, slots, _ = coder.slots(symbols[lo : lo + 50_000], one[lo : lo + 50_000], two[lo : lo + 50_000])
+                for lo in range(0, len(symbols), 4_000):
+                    bit, slots, _ = coder.slots(symbols[lo : lo + 4_000], one[lo : lo + 4_000], two[lo : lo + 4_000])
                     for n, s in zip(sums[1:], slots[1:], strict=True):
                         np.add.at(n, 2 * s.astype(np.int64) + bit, np.uint32(1))
         # the node alone: each symbol's decisions, as often as it was seen
