@@ -81,11 +81,13 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, bits: int, factors: int = 4, epochs: int = 8, batch: int = 128, rate: float = 0.1, penalty: float = 2e-2, least_docs: int = 12, seed: int = 17) -> FactorizationMachine:
+def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, bits: int, factors: int = 4, epochs: int = 10, batch: int = 128, rate: float = 0.1, penalty: float = 2e-2, least_docs: int = 12, seed: int = 17) -> FactorizationMachine:
     """Fits by AdaGrad on the logistic loss. Only terms in least_docs texts or more get weights; without both labels the score is the labels' rate."""
     rng = np.random.default_rng(seed)
-    kinds, docs = np.unique(np.concatenate([k for k, _ in features] or [np.zeros(0, np.int64)]), return_counts=True)
-    kinds = kinds[docs >= least_docs].astype(np.int64)
+    docs = np.zeros(1 << bits, np.int32)
+    for k, _ in features:
+        docs[k] += 1
+    kinds = np.flatnonzero(docs >= least_docs)
     p = (float(labels.sum()) + 0.5) / (len(labels) + 1)
     m = FactorizationMachine(bits, kinds, float(np.log(p / (1 - p))), np.zeros(len(kinds)), rng.normal(0, 0.05, (len(kinds), factors)))
     if not len(kinds) or labels.min() == labels.max():
@@ -122,7 +124,7 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, bi
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 16_000, bits: int = 20, seed: int = 17, **options) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 10_000, bits: int = 20, seed: int = 17, **options) -> FactorizationMachine:
     """Fits on the labelled rows for which usable (an expression on id_col, default: all) holds: all of them, or most_rows chosen by a hash of the id.
 
     Rows with a null id or label are left out; an id with several labels counts as toxic if one says so. The chosen ids, at most
@@ -143,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, i
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("y"), pa.array([k.astype("<i4").tobytes() for k, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())], ["id", "y", "kinds", "x"])
 
     rows = sorted(texts.mapInArrow(features, "id string, y int, kinds binary, x binary").collect(), key=lambda r: (r.id, r.y, r.kinds))
-    got = [(np.frombuffer(r.kinds, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4").astype(float)) for r in rows]
+    got = [(np.frombuffer(r.kinds, "<i4"), np.frombuffer(r.x, "<f4")) for r in rows]
     return fit(got, np.array([r.y for r in rows], float), bits=bits, seed=seed, **options)
 
 
