@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, i
         import pyarrow as pa
 
         terms = _Terms(bits)
-        for b in batches:
+        for b in _small(batches):
             found = [counted_terms(terms, t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("y"), pa.array([k.astype("<i4").tobytes() for k, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())], ["id", "y", "kinds", "x"])
 
@@ -149,6 +149,13 @@ def train(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, i
     return fit(got, np.array([r.y for r in rows], float), bits=bits, seed=seed, **options)
 
 
+def _small(batches, rows: int = 256):
+    """The batches in slices, so that only a few texts' terms are held at once."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 _models: dict[str, tuple[FactorizationMachine, np.ndarray, _Terms]] = {}
 
 
@@ -170,7 +177,7 @@ def score(docs: DataFrame, machine: FactorizationMachine, *, id_col: str = "doc_
             _models.clear()
             _models[key] = sent.value, sent.value.places(), _Terms(sent.value.bits)
         model, places, terms = _models[key]
-        for b in batches:
+        for b in _small(batches):
             found = [counted_terms(terms, t) for t in b.column(text).to_pylist()]
             n = [len(k) for k, _ in found]
             rows, at = np.repeat(np.arange(len(n)), n), places[np.concatenate([k for k, _ in found])] if n else np.zeros(0, int)
