@@ -72,3 +72,14 @@ def unit_hash(seed: int, *cols: Column) -> Column:
     """52 hash bits of the columns and the seed, as a fraction in [0, 1): the same on every rerun and every engine with MD5."""
     text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """A worker's state for key, made once and kept over batches and tasks; only one at a time, so that operators that share a worker don't add up their caches."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

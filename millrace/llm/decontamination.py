@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import held
+
 K1, B = 1.2, 0.75
 PIECE = 64  # tokens of an indexed piece; passages hold twice as many and begin every PIECE tokens, so each piece's length lies whole in one
 BLOCK = 16  # postings of a block
@@ -211,20 +213,14 @@ class _Ids(dict):
         return term
 
 
-_indexes: dict[str, tuple[Index, _Ids]] = {}
-
-
 def _found(key: str, sent, texts: list[str | None], overlap: float) -> list[list[tuple]]:
     """What each text holds of the index that a worker keeps under key."""
-    if key not in _indexes:
-        _indexes.clear()
-        _indexes[key] = sent.value, _Ids(sent.value.terms)
-    held, lookup = _indexes[key]
+    index, lookup = held(("index", key), lambda: (sent.value, _Ids(sent.value.terms)))
     out = []
     for text in texts:
         tokens = (text or "").split()
         ids = np.fromiter(map(lookup.__getitem__, tokens), np.int64, len(tokens))
-        out.append(held.matches(ids[ids != -2], overlap))
+        out.append(index.matches(ids[ids != -2], overlap))
     return out
 
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import kept
+from millrace.llm.common import held, kept
 
 #: Symbols that aren't frequent words: the end of a text, the escape before a spelled word, its end, and its bytes.
 END, ESCAPE, WORD_END, FIRST_BYTE = 0, 1, 2, 3
@@ -142,10 +142,11 @@ class Coder:
         shift = np.uint32(32 - self.slot_bits)
         out = [node]
         for context in (one, two):
-            h = np.repeat(context, n) + salted
-            h ^= h >> np.uint32(15)
-            h *= np.uint32(0x2C1B3C6D)
-            out.append((h ^ h >> np.uint32(13)) * np.uint32(0x297A2D39) >> shift)
+            h = np.repeat(context, n)
+            h ^= salted
+            h *= np.uint32(0x9E3779B1)
+            h >>= shift
+            out.append(h)
         return (taken & 1).astype(np.uint8), out, n
 
     def sizes(self) -> list[int]:
@@ -320,17 +321,6 @@ def learn(rows: DataFrame, *, most_words: int = 1 << 18, slot_bits: int = 22) ->
     return Model(coder, tables, token_counts, total + texts, kinds + (texts > 0), escapes, once), counts
 
 
-_held: dict[str, object] = {}
-
-
-def _mine(key: str, sent):
-    """A broadcast's value, one at a time in each worker."""
-    if key not in _held:
-        _held.clear()
-        _held[key] = sent.value
-    return _held[key]
-
-
 def _tables(rows: DataFrame, coder: Coder) -> list[np.ndarray]:
     """The predictors' tables: each task counts bits by slot, blocks of slots are added up by key, and one 16-bit entry a slot comes back."""
     sent, key = rows.sparkSession.sparkContext.broadcast(coder), uuid.uuid4().hex
@@ -339,7 +329,7 @@ def _tables(rows: DataFrame, coder: Coder) -> list[np.ndarray]:
     def count(batches):
         import pyarrow as pa
 
-        coder = _mine(key, sent)
+        coder = held(("coder", key), lambda: sent.value)
         sums = [np.zeros(2 * n, np.uint32) for n in sizes]
         seen = np.zeros(len(coder.code.first) - 1, np.int64)
         for b in batches:
@@ -405,7 +395,7 @@ def language_scores(docs: DataFrame, *, learns: Column | None = None, id_col: st
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        model = _mine(key, sent)
+        model = held(("model", key), lambda: sent.value)
         part, n = TaskContext.get().partitionId() << 40, 0
         for b in batches:
             ids, learn = b.column("id"), b.column("learn")

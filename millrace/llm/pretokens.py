@@ -8,12 +8,13 @@ that the two regular-expression engines may class differently (unassigned in thi
 
 from __future__ import annotations
 
-import functools
 import os
 import unicodedata
 
 import regex
 
+from millrace.llm.common import held
+
 #: Fixed value: the public pre-token pattern of byte-level BPE vocabularies with 50k entries.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The first code point at or above which a text's code points are looked at one by one.
@@ -160,19 +161,9 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
 
-@functools.cache
-def _encoder(vocabulary: str, key: object) -> Encoder:
-    return Encoder(vocabulary, _tables.get(key))
-
-
-_tables: dict[object, dict[str, int]] = {}
-
-
-def worker_encoder(vocabulary: str, packed: tuple[str, bytes] | None = None, key: object = None) -> Encoder:
-    """This worker's encoder, made once and kept over batches and tasks. packed: a table as pack_table() gives it, named by key."""
-    if packed is not None and key not in _tables:
-        _tables[key] = dict(zip(packed[0].split("\0"), packed[1], strict=True))
-    return _encoder(vocabulary, key)
+def worker_encoder(vocabulary: str, packed: tuple[str, bytes] | None = None) -> Encoder:
+    """This worker's encoder. packed: a table as pack_table() gives it."""
+    return held(("encoder", vocabulary, packed is not None), lambda: Encoder(vocabulary, dict(zip(packed[0].split("\0"), packed[1], strict=True)) if packed else None))
 
 
 def frequent_lengths(vocabulary: str) -> dict[str, int]:

@@ -7,8 +7,6 @@ asks the tokenizers library. Nothing is shuffled: each text is counted whole whe
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +21,14 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     No begin, end or other special tokens are added; special strings inside a text are handled as the library does.
     """
     spark = docs.sparkSession
-    packed, key = spark.sparkContext.broadcast(pack_table(frequent_lengths(vocabulary))), uuid.uuid4().hex
+    packed = spark.sparkContext.broadcast(pack_table(frequent_lengths(vocabulary)))
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        encoder = worker_encoder(vocabulary, packed.value, key)
+        encoder = worker_encoder(vocabulary, packed.value)
         for b in batches:
             text = b.column("text")
             n = pa.array(map(encoder.count, text.to_pylist()), pa.int64())

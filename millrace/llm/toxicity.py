@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import unit_hash
+from millrace.llm.common import held, unit_hash
 
 
 #: Lengths of the word beginnings that are terms beside whole words: inflected forms of one stem share them.
@@ -26,7 +26,7 @@ STEMS = (4, 5, 6)
 class _Terms(dict):
     """Raw token to its hashed terms: the word in lower case without punctuation at its ends, and its beginnings. A bounded cache."""
 
-    def __init__(self, bits: int, most: int = 300_000):
+    def __init__(self, bits: int, most: int = 100_000):
         import xxhash
 
         self.mask, self.hash, self.most = (1 << bits) - 1, xxhash.xxh64_intdigest, most
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, i
     def features(batches):
         import pyarrow as pa
 
-        terms = _Terms(bits)
+        terms = held(("terms", bits), lambda: _Terms(bits))
         for b in _small(batches):
             found = [counted_terms(terms, t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("y"), pa.array([k.astype("<i4").tobytes() for k, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())], ["id", "y", "kinds", "x"])
@@ -156,9 +156,6 @@ def _small(batches, rows: int = 256):
             yield b.slice(lo, rows)
 
 
-_models: dict[str, tuple[FactorizationMachine, np.ndarray, _Terms]] = {}
-
-
 def score(docs: DataFrame, machine: FactorizationMachine, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """Every column of docs that id_col names (one name or a list), score (0 to 1) and predicted (1 if score >= threshold).
 
@@ -173,10 +170,7 @@ def score(docs: DataFrame, machine: FactorizationMachine, *, id_col: str = "doc_
     def run(batches):
         import pyarrow as pa
 
-        if key not in _models:
-            _models.clear()
-            _models[key] = sent.value, sent.value.places(), _Terms(sent.value.bits)
-        model, places, terms = _models[key]
+        model, places, terms = held(("toxicity", key), lambda: (sent.value, sent.value.places(), _Terms(sent.value.bits)))
         for b in _small(batches):
             found = [counted_terms(terms, t) for t in b.column(text).to_pylist()]
             n = [len(k) for k, _ in found]
