@@ -23,6 +23,8 @@ from millrace.llm.common import kept
 
 BITS = 64
 SEED = 42
+#: Moving a row to its bucket costs about as much as this many comparisons inside one.
+ROW_COST = 200
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -103,7 +105,7 @@ def candidate_estimates(n: int, collisions: list[float], widths: list[int], dist
     out = []
     for c, w in zip(collisions, widths, strict=True):
         chance = n * n / 2.0**w
-        out.append([sum(math.comb(w, j) * (chance + max(0.0, c - chance) / 2.0 ** (j * 3)) for j in range(t + 1)) + n * sum(math.comb(w, j) for j in range(t + 1)) for t in range(distance + 1)])
+        out.append([sum(math.comb(w, j) * (chance + max(0.0, c - chance) / 2.0 ** (j * 3)) for j in range(t + 1)) + ROW_COST * n * sum(math.comb(w, j) for j in range(t + 1)) for t in range(distance + 1)])
     return out
 
 
