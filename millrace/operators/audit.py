@@ -44,6 +44,26 @@ def structure_findings(parts: DataFrame) -> DataFrame:
     return parts.select("skill", F.explode(F.array_compact(F.array(*rules))).alias("f")).select("skill", "f.*")
 
 
+def front_value(front: Column, key: str) -> Column:
+    """A top-level text of the frontmatter that stands on its key's line, without quotes around it; null without the key or a value."""
+    value = F.trim(F.regexp_extract(front, f"(?m)^{key}:[ \\t]*(.*)$", 1))
+    return F.nullif(F.coalesce(F.nullif(F.regexp_extract(value, "^([\"'])(.*)\\1$", 2), F.lit("")), value), F.lit(""))
+
+
+def spec_findings(parts: DataFrame) -> DataFrame:
+    """Findings of the frontmatter's name and description: both are there, the name is the folder's, in lower case with hyphens and of 64 characters at most, the description of 1024."""
+    name, about = front_value(F.col("frontmatter"), "name"), front_value(F.col("frontmatter"), "description")
+    say = lambda rule, message: F.struct(F.lit("fail").alias("level"), F.lit(rule).alias("rule"), F.lit(message).alias("message"))
+    rules = [
+        F.when(name.isNull(), say("SPEC001", "no name")),
+        F.when(name != F.col("skill"), say("SPEC002", "the name is not the folder's")),
+        F.when(~name.rlike("^[a-z0-9]+(-[a-z0-9]+)*$") | (F.length(name) > 64), say("SPEC003", "the name is not 1 to 64 lower-case letters, digits and single hyphens")),
+        F.when(about.isNull(), say("SPEC004", "no description")),
+        F.when(F.length(about) > 1024, say("SPEC005", "the description has over 1024 characters")),
+    ]
+    return parts.select("skill", F.explode(F.array_compact(F.array(*rules))).alias("f")).select("skill", "f.*")
+
+
 def link_targets(parts: DataFrame) -> DataFrame:
     """skill, target of each markdown link that names a file."""
     links = F.regexp_extract_all(F.col("body"), F.lit("\\[[^\\]\\n]*\\]\\(([^)\\n]+)\\)"), 1)

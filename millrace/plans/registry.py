@@ -425,3 +425,13 @@ _with_files(
 @query(V.SKILLS, _PARTS + r"SELECT skill, concat_ws(',', CASE WHEN NOT regexp_matches(body, '(?im)^#{2,6}[ \t]+When to use[ \t]*$') THEN 'When to use' END, CASE WHEN NOT regexp_matches(body, '(?im)^#{2,6}[ \t]+Examples?[ \t]*$') THEN 'Examples' END, CASE WHEN NOT regexp_matches(body, '(?im)^#{2,6}[ \t]+Validation') THEN 'Validation' END) AS missing FROM p")
 def rewrite_missing_sections(v: DataFrame) -> DataFrame:
     return A.rewrite_draft(v).select("skill", F.array_join("missing", ",").alias("missing"))
+
+
+@query(
+    V.SKILLS,
+    _PARTS + r""", n AS (SELECT skill, nullif(trim(regexp_extract(front, '(?m)^name:[ \t]*(.*)$', 1)), '') AS name, nullif(trim(regexp_extract(front, '(?m)^description:[ \t]*(.*)$', 1)), '') AS about FROM p)
+    SELECT skill, rule FROM (SELECT skill, unnest([CASE WHEN name IS NULL THEN 'SPEC001' END, CASE WHEN name <> skill THEN 'SPEC002' END, CASE WHEN NOT regexp_matches(name, '^[a-z0-9]+(-[a-z0-9]+)*$') OR length(name) > 64 THEN 'SPEC003' END,
+    CASE WHEN about IS NULL THEN 'SPEC004' END, CASE WHEN length(about) > 1024 THEN 'SPEC005' END]) AS rule FROM n) WHERE rule IS NOT NULL""",
+)
+def audit_spec(v: DataFrame) -> DataFrame:
+    return A.spec_findings(A.sections(v)).select("skill", "rule")
