@@ -27,16 +27,23 @@ SEED = 42
 ROW_COST = 200
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64 bits; lower-cases A-Z, splits at white space, hashes each run of width words (all words if fewer). 0 without a word."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """64-bit hashes of each run of width words (all words if fewer), lower-cased A-Z and split at white space; none without a word."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     runs = map(b" ".join, zip(*[words[i:] for i in range(width)], strict=False)) if len(words) >= width else [b" ".join(words)]
-    n = max(1, len(words) - width + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in runs), np.uint64, n)
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in runs), np.uint64, max(1, len(words) - width + 1))
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64 bits; lower-cases A-Z, splits at white space, hashes each run of width words (all words if fewer). 0 without a word."""
+    hashes = shingle_hashes(text, width)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(BITS, np.int64)
     for lo in range(0, n, 1 << 16):  # a long text's bits in pieces
         ones += np.unpackbits(hashes[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -175,6 +182,12 @@ def bucket_forest(bucket: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np
     return child, root[child]
 
 
+def block_pairs(own: Column) -> Column:
+    """The pairs of blocks that a row of hash own is in, of a bucket dealt into column blocks; one pair if that is null."""
+    mine = F.pmod(own, F.col("blocks")).cast("int")
+    return F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine)))
+
+
 def links(vertices: DataFrame, *, distance: int = 3, block: int = 2048) -> DataFrame:
     """u, v: edges between vertices(fp, v) whose fingerprints link, such that all linked vertices are connected by them. One vertex for each fp."""
     n = vertices.count()
@@ -194,32 +207,16 @@ def links(vertices: DataFrame, *, distance: int = 3, block: int = 2048) -> DataF
     rows = vertices.select("v", "fp", F.explode(F.concat(*places)).alias("p")).select("v", "fp", "p.part", "p.key")
     large = rows.groupBy("part", "key").count().where(F.col("count") > block).select("part", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     rows = rows.join(large, ["part", "key"], "left")
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine)))
-    rows = rows.select("v", "fp", "part", "key", F.explode(pairs).alias("pair"))
+    rows = rows.select("v", "fp", "part", "key", F.explode(block_pairs(F.xxhash64("fp"))).alias("pair"))
     n_parts = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n_parts, "part", "key", "pair").sortWithinPartitions("part", "key", "pair")
 
     def run(batches):
         import pyarrow as pa
 
-        held = None
-        for b in _and_end(batches):
-            if b is not None:
-                t = pa.Table.from_batches([b])
-                held = t if held is None else pa.concat_tables([held, t])
-                if held.num_rows < 4096:
-                    continue
-            if held is None or not held.num_rows:
-                continue
-            held = held.combine_chunks()
-            cols = [held.column(c).to_numpy() for c in ("part", "key", "pair")]
-            new = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])]
-            upto = held.num_rows if b is None else int(np.flatnonzero(new)[-1])  # the last bucket may go on in the next batch
-            if not upto:
-                continue
-            child, root = bucket_forest(np.cumsum(new)[:upto], held.column("fp").to_numpy()[:upto].view(np.uint64), distance)
-            v, held = held.column("v").chunk(0), held.slice(upto)
+        for held, bucket in whole_buckets(batches):
+            child, root = bucket_forest(bucket, held.column("fp").to_numpy().view(np.uint64), distance)
+            v = held.column("v").chunk(0)
             if len(child):
                 yield pa.RecordBatch.from_arrays([v.take(pa.array(child)), v.take(pa.array(root))], ["u", "v"])
 
@@ -227,6 +224,29 @@ def links(vertices: DataFrame, *, distance: int = 3, block: int = 2048) -> DataF
     return rows.mapInArrow(run, f"u {kind}, v {kind}").distinct()
 
 
+def whole_buckets(batches):
+    """Tables of whole buckets, and each row's bucket number: rows sorted by part, key and pair, cut where these change."""
+    import pyarrow as pa
+
+    held = None
+    for b in _and_end(batches):
+        if b is not None:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.num_rows < 4096:
+                continue
+        if held is None or not held.num_rows:
+            continue
+        held = held.combine_chunks()
+        cols = [held.column(c).to_numpy() for c in ("part", "key", "pair")]
+        new = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])]
+        upto = held.num_rows if b is None else int(np.flatnonzero(new)[-1])  # the last bucket may go on in the next batch
+        if not upto:
+            continue
+        yield held.slice(0, upto).combine_chunks(), np.cumsum(new)[:upto]
+        held = held.slice(upto)
+
+
 def _and_end(batches):
     yield from batches
     yield None
@@ -267,16 +287,3 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stars = components(links(vertices, distance=distance, block=block))
     ids = kept(vertices.join(stars.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left").select("fp", F.coalesce("root.d", "v.d").alias("component_id")), "ids")
     return prints.join(ids, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each component: that of its least id. Rows of one id are one document, of which one row stays; rows
-    without an id stay only in components without any id, all of them. The columns may have any other names."""
-    names = docs.columns
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    rows = docs.select(F.col(id_col).alias("_id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    one = F.row_number().over(Window.partitionBy("_id").orderBy(F.crc32(F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary"))))
-    known = rows.where("_id IS NOT NULL").join(stay, "_id", "left_semi").withColumn("_n", one).where("_n = 1")
-    unknown = rows.where("_id IS NULL").join(F.broadcast(stay.where("_id IS NULL").select(F.lit(1).alias("any"))), F.lit(True), "left_semi")
-    return known.select("row.*").unionAll(unknown.select("row.*"))
