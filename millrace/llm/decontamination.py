@@ -3,7 +3,8 @@
 The index holds the items (in pieces of at most PIECE tokens), each posting with its BM25 weight divided by the piece's own best
 score, so that 1 is a perfect match and one threshold serves all. A passage retrieves every piece at or above the threshold: WAND skips what the
 terms' greatest weights cannot lift there, the blocks' greatest weights skip more, and nothing is cut at a rank. What is
-retrieved is verified exactly: the five-word shingles of an item's question and of its answer must both be in the text.
+retrieved is verified exactly: the five-word shingles of an item's question and of its answer must both be in the text. An answer of at
+most SHORT tokens counts as well by its tokens in order where the question's match says that it should stand.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ PIECE = 64  # tokens of an indexed piece; passages hold twice as many and begin
 BLOCK = 16  # postings of a block
 MOST_BLOCKS = 256  # columns of the table of blocks' greatest weights
 LONG = 1 << 16  # tokens of a text looked at together
+SHORT = 8  # tokens of an answer that has too few shingles to outlast a changed word
 
 
 def token_key(token: str) -> str:
@@ -54,12 +56,33 @@ def shingles(tokens: list, width: int = 5) -> set[tuple]:
     return {tuple(tokens[i : i + width]) for i in range(len(tokens) - width + 1)} if width else set()
 
 
+def in_order(answer: list, window: list) -> int:
+    """Most tokens of answer that stand in window in their order (longest common subsequence)."""
+    row = [0] * (len(window) + 1)
+    for a in answer:
+        before, row = row, [0]
+        for j, w in enumerate(window):
+            row.append(before[j] + 1 if a == w else max(before[j + 1], row[j]))
+    return row[-1]
+
+
+def beside(question: list, answer: list, text: list) -> float:
+    """Greatest share of the answer's tokens that stand in order where one of the question's shingles in the text expects the answer, give or take its length."""
+    width = min(5, len(question))
+    at: dict[tuple, list[int]] = {}
+    for i in range(len(question) - width + 1 if width else 0):
+        at.setdefault(tuple(question[i : i + width]), []).append(len(question) - i)
+    starts = {i + ahead for i in range(len(text) - width + 1) for ahead in at.get(tuple(text[i : i + width]), ())}
+    n = len(answer)
+    return max((in_order(answer, text[max(0, s - n) : s + 2 * n]) / n for s in starts), default=0.0)
+
+
 class Index:
     """Items as an inverted index with normalised weights and block maxima. items: (id, text); those without a token are left out."""
 
     def __init__(self, items: list[tuple], threshold: float):
         self.threshold = threshold
-        self.ids, self.parts, pieces = [], [], []
+        self.ids, self.parts, self.tokens, pieces = [], [], [], []
         self.terms: dict[str, int] = {}
         for item_id, text in items:
             tokens, answer = item_parts(text or "")
@@ -70,6 +93,7 @@ class Index:
                 pieces.append((len(self.ids), t[lo : lo + PIECE]))
             self.ids.append(item_id)
             self.parts.append((shingles(t[:answer]), shingles(t[answer:])))
+            self.tokens.append((t[:answer], t[answer:]))
         self.owner = [i for i, _ in pieces]
         lists: dict[int, dict[int, int]] = {}
         for p, (_, t) in enumerate(pieces):
@@ -194,6 +218,9 @@ class Index:
                 if width not in runs:
                     runs[width] = {tuple(whole[i : i + width]) for i in range(len(whole) - width + 1)}
                 shares.append(len(part & runs[width]) / len(part) if part else 1.0)
+            question, answer = self.tokens[item]
+            if shares[1] < overlap <= shares[0] and len(answer) <= SHORT:
+                shares[1] = max(shares[1], beside(question, answer, whole))
             if min(shares) >= overlap:
                 out.append((self.ids[item], score, *shares))
         return out
