@@ -1,22 +1,26 @@
 """LM scoring by online logistic context mixing.
 
-A text is a row of symbols: frequent words, the end, and, for any other word, an escape with the word's bytes. Behind an escape a
-word that the corpus knows costs its share of the counts of such words, any other costs its bytes. A Huffman code turns each symbol into a few binary decisions. Every decision is predicted by several hashed-context bit predictors (the code
-node alone, with a short context before it, with a longer one); their log-odds are combined by weights that a gate chooses from the predictors' confidence, and
-the weights are refined adaptively as the text goes on. The bits' probabilities multiply to the text's.
-
-What is gathered from the corpus: exact counts of every word, and for each hashed context how often each bit followed, added up over all learning
-texts. Broadcast are the frequent words (most_words at most) and the predictor tables (2^slot_bits slots each), bounded both;
-counts of all other words are joined.
+A text is a row of symbols: frequent words, one symbol for any other word, and the end. A Huffman code turns each symbol into a few binary
+decisions. Every decision is predicted by several hashed-context bit predictors: the code's node alone, the node after the last very frequent word (which tells
+language and register), and the node after the two or three words before. Their log-odds are combined by weights that a gate chooses from what the
+contexts have seen, and the weights are refined adaptively as the text goes on. Behind the symbol for other words one more mixed decision says whether it is the word that the context saw
+most; else a word that the corpus knows costs its share of such words' counts, and a new one its bytes, spelled by a mixer of its own. The decisions'
+probabilities multiply to the text's.
+
+What is gathered from the corpus grows with it. Every word is counted and joined; every long context of every learning text is counted exactly, by a 64-bit hash, in
+partitions whose number follows the count of tokens: chunks of texts send their distinct (context, symbol) pairs there, and get back what the learning texts hold on the path of each.
+The same partitions tell, leaving out one occurrence at a time, what counts are worth: from that come the context's log-odds and the gates' first weights. Only what
+is bounded by the alphabet of frequent words (most_words) is broadcast: their code, and a table of CLASSES rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import uuid
+import zlib
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark import TaskContext
@@ -25,24 +29,27 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import held, kept
 
-#: Symbols that aren't frequent words: the end of a text, the escape before a spelled word, its end, and its bytes.
-END, ESCAPE, WORD_END, FIRST_BYTE = 0, 1, 2, 3
-FIRST_WORD = FIRST_BYTE + 256
-#: Predictors: by no symbol before, by a short and by a longer context.
-ORDERS = 3
-#: Slots of a table that travel together.
-BLOCK = 1 << 14
-#: Symbols of a text between two refinements of its weights.
-STEP = 64
-#: Confidence of a predictor by the bits it has seen: below each bound, one step.
-SEEN = np.array([1, 3, 12])
-#: First weights of the short and the long context by confidence, between words and inside a spelled one; order 0 has what is left to 1.
-FIRST_WEIGHTS = np.array([[[0.0, 0.1, 0.3, 0.6], [0.0, 0.0, 0.1, 0.4]], [[0.0, 0.1, 0.3, 0.4], [0.0, 0.5, 0.7, 0.8]]])
-#: Weight sets: by the confidence of both contexts, and by whether the symbol is inside a spelled word.
-GATES = 32
-#: So many of the most frequent words are a context for what follows until the next of them: they tell language and register.
-FREQUENT = 128
-RATE = 0.004
+#: Symbols that aren't frequent words: the end of a text, and any other word.
+END, RARE, FIRST_WORD = 0, 1, 2
+#: Short contexts: which of so many of the most frequent words stood last; 0 for none.
+CLASSES = 64
+#: A (context, symbol) pair is 32 bits of the context's hash and LOW bits: the symbol's place among the code's leaves, or RARE_BIT and hash bits of another word.
+LOW, RARE_BIT = 24, 1 << 23
+#: Tokens of a chunk, and of a partition of contexts.
+CHUNK, PART = 1_000_000, 3_000_000
+#: Symbols of a text before the weights are first refined, and between refinements.
+FIRST_STEP, STEP = 16, 64
+RATE = 0.02
+#: Steps of a count that share a state: 0, 1, 2, 3, then from each bound on.
+STATES = np.searchsorted([1, 2, 3, 4, 6, 9, 15, 31, 100], np.arange(101), side="right")
+N_STATES = 10
+#: Bins of the order-0 log-odds, of width 1 / 2, in what is gathered for the first weights.
+ODDS = 48
+#: Gates of the long context (what it has seen, and whether both bits) times those of the short one.
+GATES = 64
+#: Bytes of a word spelled with one set of weights.
+SEGMENT = 64
+SPELL_BITS = 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -50,17 +57,16 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def inside(symbols: np.ndarray) -> np.ndarray:
-    """Which symbols belong to a spelled word."""
-    return (symbols >= WORD_END) & (symbols < FIRST_WORD)
-
-
 @dataclass
 class Code:
-    """Huffman code of the symbols: path[first[s]:first[s + 1]] holds, for each decision of s, 2 * node + bit."""
+    """Huffman code of the symbols: path[first[s]:first[s + 1]] holds, for each decision of s, 2 * node + bit; leaf[s] is s's place from left to right; bits and length are
+    by place: the code from the top bit down."""
 
     first: np.ndarray
     path: np.ndarray
+    leaf: np.ndarray
+    bits: np.ndarray
+    length: np.ndarray
 
 
 def huffman(weights: np.ndarray) -> Code:
@@ -81,181 +87,464 @@ def huffman(weights: np.ndarray) -> Code:
         at = np.where(inner, parent[at], root)
     length = np.sum([s >= 0 for s in steps], axis=0)
     first = np.r_[0, np.cumsum(length)].astype(np.int64)
-    path = np.empty(int(first[-1]), np.int32)
+    path, bits = np.empty(int(first[-1]), np.int32), np.zeros(n, np.uint64)
     for up, s in enumerate(steps):  # from the leaf up, so the last decision comes first
         has = s >= 0
         path[first[1:][has] - 1 - up] = s[has]
-    return Code(first, path)
+        bits[has] |= (s[has] & 1).astype(np.uint64) << (64 - length[has] + up).astype(np.uint64)
+    order = np.argsort(bits)
+    leaf = np.empty(n, np.int64)
+    leaf[order] = np.arange(n)
+    return Code(first, path, leaf, bits[order], length[order])
+
+
+def step_bounds(place: np.ndarray) -> np.ndarray:
+    """The number of refinements before each place of a text."""
+    return (place + STEP - FIRST_STEP) // STEP
+
+
+def small(n: np.ndarray) -> np.ndarray:
+    """Counts in a byte: exact below 128, then in steps of a twelfth of a doubling."""
+    n = np.asarray(n, np.float64)
+    return np.where(n < 128, n, np.minimum(255, 128 + np.rint(12 * np.log2(np.maximum(n, 128) / 128)))).astype(np.uint8)
+
+
+def unsmall() -> np.ndarray:
+    """The count that each byte of small() stands for."""
+    b = np.arange(256.0)
+    return np.where(b < 128, b, 128 * 2 ** ((b - 128) / 12))
+
+
+def state(n: np.ndarray) -> np.ndarray:
+    return STATES[np.minimum(n, 100)]
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Integer arrays, byte by byte of their elements, compressed; the bytes that are 0 everywhere are left out."""
+    import pyarrow as pa
+
+    head, parts = [len(arrays)], []
+    for a in arrays:
+        top = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+        head += [len(a), top]
+        parts.append(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :top].T).tobytes())
+    raw = b"".join(parts)
+    return np.array([*head, len(raw)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    """The arrays of packed(), as unsigned 64-bit integers (as bytes where one byte suffices)."""
+    import pyarrow as pa
+
+    k = int(np.frombuffer(data, "<i8", 1)[0])
+    head = np.frombuffer(data, "<i8", 2 * k + 2).tolist()
+    raw = np.frombuffer(pa.decompress(memoryview(data)[8 * (2 * k + 2) :], head[-1], "zstd"), np.uint8) if head[-1] else np.zeros(0, np.uint8)
+    out, at = [], 0
+    for n, top in zip(head[1:-1:2], head[2:-1:2], strict=True):
+        planes = raw[at : at + n * top].reshape(top, n)
+        at += n * top
+        if top == 1:
+            out.append(planes[0])
+        else:
+            whole = np.zeros((n, 8), np.uint8)
+            whole[:, :top] = planes.T
+            out.append(whole.view("<u8").ravel())
+    return out
 
 
 @dataclass
 class Coder:
-    """What turns texts into decisions: the frequent words and the code."""
+    """What turns texts into symbols and pairs: the frequent words, the code, and the number of partitions of contexts."""
 
     words: dict[bytes, int]
     code: Code
-    slot_bits: int
-
-    def symbols(self, words: list[bytes], at: list[int | None]) -> list[int]:
-        if None not in at:
-            return [*at, END]
-        out: list[int] = []
-        for w, s in zip(words, at, strict=True):
-            if s is None:
-                out.append(ESCAPE)
-                out += [FIRST_BYTE + b for b in w]
-                out.append(WORD_END)
-            else:
-                out.append(s)
-        out.append(END)
-        return out
-
-    def contexts(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of what stands before each symbol, the shorter and the longer context: the last very frequent word and the symbol before; inside a spelled word two
-        and three symbols before. starts: the first symbol of each text."""
-        mix = (symbols.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
-        before, hashes = mix, []
-        h = np.zeros(len(symbols), np.uint32)
-        for k in range(3):
-            before = np.r_[np.uint32(0), before[:-1]]
-            before[starts] = 0
-            h = (h ^ before) * np.uint32(0x85EBCA6B) + np.uint32(k)
-            h ^= h >> np.uint32(15)
-            hashes.append(h)
-        place = np.arange(len(symbols))
-        frequent = (symbols >= FIRST_WORD) & (symbols < FIRST_WORD + FREQUENT)
-        last = np.maximum.accumulate(np.where(frequent, place, -1))
-        last = np.r_[-1, last[:-1]] if len(last) else last
-        first = np.repeat(starts, np.diff(np.r_[starts, len(symbols)]))
-        short = np.where(last >= first, mix[np.maximum(last, 0)], 0).astype(np.uint32) ^ np.uint32(0x165667B1)
-        spelled = inside(symbols)
-        return np.where(spelled, hashes[1], short), np.where(spelled, hashes[2], hashes[0])
-
-    def slots(self, symbols: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """For each decision of the symbols: its bit, its slot in each table; and each symbol's number of decisions."""
-        n = self.code.first[symbols + 1] - self.code.first[symbols]
-        ends = np.cumsum(n)
-        place = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32) + np.repeat((self.code.first[symbols] - (ends - n)).astype(np.int32), n)
-        taken = self.code.path[place]
-        node = taken >> 1
-        salted = node.astype(np.uint32) * np.uint32(0x27D4EB2F)
-        shift = np.uint32(32 - self.slot_bits)
-        out = [node]
-        for context in (one, two):
-            h = np.repeat(context, n)
-            h ^= salted
-            h *= np.uint32(0x9E3779B1)
-            h >>= shift
-            out.append(h)
-        return (taken & 1).astype(np.uint8), out, n
-
-    def sizes(self) -> list[int]:
-        """Slots of each table, in whole blocks."""
-        return [-(-(len(self.code.first) - 2) // BLOCK) * BLOCK, *[max(BLOCK, 1 << self.slot_bits)] * (ORDERS - 1)]
-
-
-def _batches_of_texts(texts: list[str | None], words: dict[bytes, int], most: int = 60_000):
-    """Groups of (words, their symbols or None) of whole texts, about `most` symbols each."""
-    group, size = [], 0
-    for i, t in enumerate(texts):
-        w = words_of(t)
-        at = list(map(words.get, w))
-        group.append((i, w, at))
-        size += len(w) + 10 * at.count(None)
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
-def _pack_counts(n: np.ndarray) -> bytes:
-    """Counts as one byte each, those of 255 and more apart."""
-    over = np.flatnonzero(n >= 255)
-    return np.uint32(len(over)).tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes() + over.astype("<u4").tobytes() + n[over].astype("<u8").tobytes()
-
-
-def _unpack_counts(data: bytes) -> np.ndarray:
-    k = int(np.frombuffer(data, "<u4", 1)[0])
-    n = np.frombuffer(data, np.uint8, 2 * BLOCK, 4).astype(np.int64)
-    n[np.frombuffer(data, "<u4", k, 4 + 2 * BLOCK)] = np.frombuffer(data, "<u8", k, 4 + 2 * BLOCK + 4 * k).astype(np.int64)
-    return n
-
-
-def _entries(n: np.ndarray) -> np.ndarray:
-    """Counts of bit 0 and 1 in turn, as 16 bits a slot: log-odds times 1024, then two bits of confidence."""
-    zero, one = n[0::2], n[1::2]
-    odds = np.clip(np.log((one + 0.4) / (zero + 0.4)), -7.9, 7.9)
-    return ((np.rint(odds * 1024).astype(np.int32) << 2) | np.searchsorted(SEEN, zero + one, side="right")).astype("<i2")
+    parts: int
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+@dataclass
+class Chunk:
+    """Texts as symbols: their first symbols, the symbols, and the words behind RARE in order."""
+
+    starts: np.ndarray
+    symbols: np.ndarray
+    rare: list[bytes]
+
+    def classes(self) -> np.ndarray:
+        """By symbol: the short context before it."""
+        s, n = self.symbols, len(self.symbols)
+        place = np.arange(n)
+        told = np.maximum.accumulate(np.where((s >= FIRST_WORD) & (s < FIRST_WORD + CLASSES - 1), place, -1))
+        told = np.r_[-1, told[:-1]]
+        first = np.repeat(self.starts, np.diff(np.r_[self.starts, n]))
+        return np.where(told >= first, s[np.maximum(told, 0)] - FIRST_WORD + 1, 0)
+
+    def pairs(self, coder: Coder) -> tuple[np.ndarray, np.ndarray]:
+        """Partition and key of each symbol's (context, symbol) pair, then of each other word's (context, word) pair. The context is the two words before, and the third if
+        both are so frequent that they tell little."""
+        s = self.symbols
+        at = np.flatnonzero(s == RARE)
+        crc = np.fromiter(map(zlib.crc32, self.rare), np.uint64, len(self.rare))
+        ids = s.astype(np.uint64) + np.uint64(1)
+        ids[at] = crc | np.uint64(1 << 40)
+        ids = _mixed(ids)
+        often = (s >= FIRST_WORD) & (s < FIRST_WORD + CLASSES - 1)
+        back, much = [], []
+        x, o = ids, often
+        for _ in range(3):
+            x, o = np.r_[np.uint64(0), x[:-1]], np.r_[False, o[:-1]]
+            x[self.starts], o[self.starts] = 0, False
+            back.append(x)
+            much.append(o)
+        h = _mixed(back[0] + np.uint64(3)) ^ (back[1] * np.uint64(0xD6E8FEB86659FD93))
+        h = np.where(much[0] & much[1], h + back[2] * np.uint64(0xA0761D6478BD642F), h)
+        h = _mixed(h)
+        part = ((h >> np.uint64(32)) * np.uint64(coder.parts) >> np.uint64(32)).astype(np.int64)
+        key = (h & np.uint64(0xFFFFFFFF)) << np.uint64(LOW)
+        own = key | coder.code.leaf[s].astype(np.uint64)
+        other = key[at] | np.uint64(RARE_BIT) | (crc & np.uint64(RARE_BIT - 1))
+        return np.r_[part, part[at]], np.r_[own, other]
+
+
+def distinct_pairs(part: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Partitions present, the bounds of each one's run of sorted distinct keys, all these keys, and the place of each given pair among them."""
+    order = np.argsort(part, kind="stable")
+    present, first = np.unique(part[order], return_index=True)
+    keys, bounds, where = [], [0], np.empty(len(part), np.int64)
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True):
+        mine = order[lo:hi]
+        kinds, inverse = np.unique(key[mine], return_inverse=True)
+        where[mine] = inverse + bounds[-1]
+        keys.append(kinds)
+        bounds.append(bounds[-1] + len(kinds))
+    return present, np.array(bounds), np.concatenate(keys) if keys else np.zeros(0, np.uint64), where
+
+
+def chunks(batches, words: dict[bytes, int], most: int = CHUNK):
+    """Chunks of whole texts, about `most` symbols each, with the slices (batch, first row, rows) that they hold."""
+    sizes, symbols, rare, slices, total = [], [], [], [], 0
+
+    def out():
+        return Chunk(np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64), np.concatenate(symbols), rare), slices
+
+    for b in batches:
+        lo = 0
+        for i, t in enumerate(b.column("text").to_pylist()):
+            w = words_of(t)
+            s = np.fromiter(chain(map(words.get, w, repeat(RARE)), (END,)), np.int32, len(w) + 1)
+            rare += [w[j] for j in np.flatnonzero(s == RARE).tolist()]
+            symbols.append(s)
+            sizes.append(len(s))
+            total += len(s)
+            if total >= most:
+                slices.append((b, lo, i + 1 - lo))
+                yield out()
+                sizes, symbols, rare, slices, total, lo = [], [], [], [], 0, i + 1
+        if lo < b.num_rows:
+            slices.append((b, lo, b.num_rows - lo))
+    if sizes:
+        yield out()
+
+
+def paths(keys: np.ndarray, counts: np.ndarray, code: Code, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the learning texts hold on each pair's path. keys: a partition's sorted distinct pairs, counts: their learning counts, odds: order 0's by decision as in code.path.
+
+    Returns for each pair a number of bytes and, concatenated, these: for a symbol the counts (as small() has them) at its path's nodes in its context from the root to the leaf, up to the first 0; one byte where
+    the context has no other symbol, none where it is unknown. For another word: the context's count of such words, of those the count that agrees with whether this is the context's most frequent one, and that. Third: over
+    all nodes on learning paths, how often each (order-0 odds, own count, other count) came, each occurrence seen without itself.
+    """
+    low = (keys & np.uint64((1 << LOW) - 1)).astype(np.int64)
+    context = keys >> np.uint64(LOW)
+    gathered = np.zeros(ODDS * N_STATES * N_STATES)
+    size = np.zeros(len(keys), np.int64)
+    pieces: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def runs(x):
+        start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+        return start, np.diff(np.r_[start, len(x)])
+
+    def gather(z, own, other, times):
+        nonlocal gathered
+        cell = np.clip(np.floor(2 * z) + ODDS // 2, 0, ODDS - 1).astype(np.int64) * N_STATES + state(own)
+        gathered += np.bincount(cell * N_STATES + state(other), times, len(gathered))
+
+    a = np.flatnonzero(low < RARE_BIT)
+    start, kinds = runs(context[a])
+    n = counts[a]
+    total = np.repeat(np.add.reduceat(n, start), kinds) if len(a) else n
+    alone = np.repeat(kinds, kinds) == 1
+    one = alone & (n > 0)
+    size[a[one]] = 1
+    pieces.append((a[one], small(n[one])))
+    again = np.flatnonzero(alone & (n > 1))
+    if len(again):
+        leaf = low[a[again]]
+        steps = code.length[leaf]
+        sym_first = code.first[np.argsort(code.leaf)[leaf]]
+        place = np.arange(int(steps.sum())) + np.repeat(sym_first - np.r_[0, np.cumsum(steps)[:-1]], steps)
+        own = np.repeat(n[again], steps)
+        gather(odds[place], own - 1, np.zeros_like(own), own)
+    many = np.flatnonzero(~alone & (total > 0))
+    if len(many):
+        leaf, mine, of = low[a[many]], n[many], context[a[many]]
+        bits, steps = code.bits[leaf], code.length[leaf]
+        symbol_first = code.first[np.argsort(code.leaf)[leaf]]
+        apart = bits[1:] ^ bits[:-1]
+        shared = np.r_[-1, np.where(of[1:] != of[:-1], -1, 63 - np.floor(np.log2(np.maximum(apart, np.uint64(1)).astype(np.float64))).astype(np.int64))]
+        upto = np.r_[0, np.cumsum(mine)]
+        deepest = int(steps.max())
+        table = np.zeros((len(many), deepest + 1), np.uint8)
+        before = None
+        for k in range(deepest + 1):
+            begin = np.flatnonzero(shared < k)  # one run of equal first k decisions each
+            ends = np.r_[begin[1:], len(many)]
+            held_here = upto[ends] - upto[begin]
+            table[:, k] = np.repeat(small(held_here), ends - begin)
+            if k:
+                above = before[begin]
+                real = (held_here > 0) & (above > 1) & (steps[begin] >= k)
+                x, y = held_here[real], above[real]
+                gather(odds[symbol_first[begin[real]] + k - 1], x - 1, y - x, x)
+            before = np.repeat(held_here, ends - begin)
+        valid = np.arange(deepest + 1) <= steps[:, None]
+        valid[:, 1:] &= table[:, :-1] > 0
+        size[a[many]] = valid.sum(1)
+        pieces.append((np.repeat(a[many], size[a[many]]), table[valid]))
+    b = np.flatnonzero(low >= RARE_BIT)
+    if len(b):
+        start, kinds = runs(context[b])
+        n = counts[b]
+        total = np.repeat(np.add.reduceat(n, start), kinds)
+        top = np.repeat(np.maximum.reduceat(n, start), kinds)
+        group = np.repeat(np.arange(len(start)), kinds)
+        best = np.flatnonzero(n == top)
+        best = best[np.unique(group[best], return_index=True)[1]]
+        is_best = np.zeros(len(b), bool)
+        is_best[best] = True
+        known = total > 0
+        size[b[known]] = 3
+        told = np.stack([small(total), small(np.where(is_best, top, total - top)), is_best.astype(np.uint8)], 1)[known]
+        pieces.append((np.repeat(b[known], 3), told.ravel()))
+    at, data = np.concatenate([p for p, _ in pieces]), np.concatenate([d for _, d in pieces])
+    return size, data[np.argsort(at, kind="stable")], gathered
 
 
 @dataclass
 class Model:
     coder: Coder
-    tables: list[np.ndarray]
+    #: Order 0's log-odds of each decision as taken, in the order of the code's path.
+    odds: np.ndarray
+    #: By short context and node: log-odds of bit 1 times 256, then two bits of how much it has seen.
+    short: np.ndarray
     #: By symbol: learning count; 0 for what isn't a token.
     counts: np.ndarray
     train_tokens: int
     kinds: int
-    #: Learning tokens that aren't frequent words, and those of them seen once: the share of new words among such tokens (Good-Turing).
-    rare_tokens: int
-    once: int
+    #: Share of words that the corpus knows among those that aren't frequent.
+    known: float
+    #: By two bytes of counts (in all, as taken): the long context's log-odds and its gate, 0 for none; the first weights of both contexts by gate.
+    long: np.ndarray
+    gate: np.ndarray
+    weights: tuple[np.ndarray, np.ndarray]
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.train_tokens + 0.5 * (self.kinds + 1)))
 
-    def rare_known(self) -> float:
-        """Probability that an escaped word is one that the corpus knows."""
-        return 1 - (self.once + 1) / (self.rare_tokens + 2) if self.rare_tokens else 0.0
+    def scores(self, chunk: Chunk, size: np.ndarray, data: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log of the probability of each text's symbols, and which of the other words are left to code. size, data: what paths() gives for the chunk's distinct pairs, where: each pair's place."""
+        code, n = self.coder.code, len(chunk.symbols)
+        offset = np.r_[0, np.cumsum(size)[:-1]]
+        data = np.r_[data, np.uint8(0)]
+        offset, size = np.where(size > 0, offset, len(data) - 1), np.maximum(size, 1)  # an unknown context has a count of 0
+        text = np.repeat(np.arange(len(chunk.starts)), np.diff(np.r_[chunk.starts, n]))
+        short = chunk.classes()
+        step = step_bounds(np.arange(n) - chunk.starts[text])
+        rare = np.full(n, -1)
+        rare[np.flatnonzero(chunk.symbols == RARE)] = np.arange(len(chunk.rare))
+        left = np.ones(len(chunk.rare), bool)
+        out = np.zeros(len(chunk.starts))
+        nodes = self.short.shape[1]
+        w1, w2 = (np.tile(w, len(chunk.starts)) for w in self.weights)
+        w3 = np.ones(len(chunk.starts), np.float32)
+        groups = np.searchsorted(chunk.starts, np.arange(0, n, 40_000))  # texts that go on together: few enough for a core's cache
+        groups = np.unique(np.r_[groups[groups < len(chunk.starts)], len(chunk.starts)])
+        for t0, t1 in zip(groups[:-1].tolist(), groups[1:].tolist(), strict=True):
+            first, last = int(chunk.starts[t0]), int(chunk.starts[t1]) if t1 < len(chunk.starts) else n
+            order = first + np.argsort(step[first:last], kind="stable")
+            bounds = np.r_[0, np.cumsum(np.bincount(step[first:last]))].tolist()
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                now = order[lo:hi]
+                s = chunk.symbols[now]
+                begin = code.first[s]
+                many = code.first[s + 1] - begin
+                depth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                place = np.repeat(begin, many) + depth
+                z, taken = self.odds[place], code.path[place]
+                e = self.short.ravel()[np.repeat(short[now] * nodes, many) + (taken >> 1)]
+                sign = (2 * (taken & 1) - 1).astype(np.float32)
+                x1 = (e >> 2).astype(np.float32)
+                x1 *= sign
+                x1 *= np.float32(1 / 256)
+                pair = where[now]
+                end = np.repeat(size[pair] - 1, many)
+                at = np.repeat(offset[pair], many)
+                seen = data[at + np.minimum(depth, end)].astype(np.uint16)
+                depth += 1
+                seen <<= 8
+                seen |= data[at + np.minimum(depth, end)]
+                gate = self.gate[seen]
+                d2 = self.long[seen]
+                d2 -= x1
+                d2 *= gate > 0
+                x1 -= z
+                mine = text[now]
+                here = np.repeat(mine * GATES, many)
+                here += gate.astype(np.int64) * 4 + (e & 3)
+                z = z + w1[here] * x1
+                z += w2[here] * d2
+                np.clip(z, -14, 14, out=z)
+                np.exp(z, out=z)
+                z += 1  # 1 / z is now the probability of the other bit
+                np.divide(1, z, out=z)
+                out += np.bincount(np.repeat(mine, many), np.log1p(-z), len(out))
+                z *= np.float32(RATE)
+                w1 += np.bincount(here, z * x1, len(w1))
+                w2 += np.bincount(here, z * d2, len(w2))
+                # other words: is it the one that the context saw most?
+                other = now[rare[now] >= 0]
+                pair = where[n + rare[other]]
+                told = size[pair] == 3
+                other, pair = other[told], pair[told]
+                if len(other):
+                    at = offset[pair]
+                    x = self.long[data[at].astype(np.uint16) << 8 | data[at + 1]]
+                    z = 1 / (1 + np.exp(np.clip(w3[text[other]] * x, -14, 14)))
+                    out += np.bincount(text[other], np.log1p(-z), len(out))
+                    w3 += np.bincount(text[other], RATE * z * x, len(w3)).astype(np.float32)
+                    left[rare[other[data[at + 2] == 1]]] = False
+        return out, left
+
+
+def long_context(gathered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From what paths() gathered over all partitions: log-odds and gate by two bytes of counts, and the first weight of the long context by gate.
+
+    An occurrence with `own` others on its side and `other` on the other one says how often a bit of such counts comes; by symmetry the share is T[own, other] of T[own, other] + T[other, own]. Large
+    counts speak for themselves.
+    """
+    seen = gathered.reshape(ODDS, N_STATES, N_STATES)
+    t = seen.sum(0) + 0.4
+    by_state = np.log(t / t.T)
+    n = unsmall()
+    total, own = np.meshgrid(n, n, indexing="ij")
+    other = np.maximum(total - own, 0)
+    i, j = state(own.astype(np.int64)), state(other.astype(np.int64))
+    own_odds = np.log((own + 0.4) / (other + 0.4))
+    odds = np.where(total < 31, by_state[i, j], own_odds)
+
+    def gate_of(total, least):
+        return np.where(total < 1, 0, 1 + 2 * np.searchsorted([2, 3, 5, 10, 31, 300], total, side="right") + (least > 0))
+
+    gate = gate_of(total, np.minimum(own, other))
+    # first weights: the best of a few for what was gathered
+    middle = np.array([0, 1, 2, 3, 4.5, 7, 11, 20, 50, 200])
+    a, b = np.meshgrid(middle, middle, indexing="ij")
+    cell_gate = gate_of(a + b, np.minimum(a, b))
+    x = np.where(a + b < 31, by_state, np.log((a + 0.4) / (b + 0.4)))
+    z = ((np.arange(ODDS) - ODDS // 2) / 2 + 0.25)[:, None, None]
+    tried = np.linspace(0, 1.2, 25)
+    fit = np.array([[(seen * -np.logaddexp(0, -(z + w * (x - z))))[:, cell_gate == g].sum() for w in tried] for g in range(GATES // 4)])
+    first = np.where([seen[:, cell_gate == g].sum() > 0 for g in range(GATES // 4)], tried[fit.argmax(1)], 0.5)
+    return odds.ravel().astype(np.float32), gate.ravel().astype(np.uint8), np.repeat(first, 4).astype(np.float32)
+
+
+def short_table(code: Code, by_class: np.ndarray, prior: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
+    """Order 0's odds of each decision as taken, and the short contexts' entries by node. by_class: learning counts by short context and symbol."""
+    n = len(code.leaf)
+    node, bit = code.path >> 1, code.path & 1
+    leaf = np.repeat(code.leaf, np.diff(code.first))
+    lo, mid, hi = np.full(n - 1, n), np.full(n - 1, n), np.zeros(n - 1, np.int64)
+    np.minimum.at(lo, node, leaf)
+    np.maximum.at(hi, node, leaf + 1)
+    np.minimum.at(mid, node[bit == 1], leaf[bit == 1])
+    order = np.argsort(code.leaf)
+
+    def sides(c):
+        upto = np.r_[0, np.cumsum(c[order])]
+        return upto[mid] - upto[lo], upto[hi] - upto[mid]
+
+    zero, one = sides(by_class.sum(0).astype(np.float64))
+    p = (one + 0.4) / (zero + one + 0.8)
+    odds = np.log(p / (1 - p))
+    out = np.empty((len(by_class), n - 1), np.int16)
+    for k, c in enumerate(by_class):
+        zero, one = sides(c)
+        x = np.log((one + prior * p) / (zero + prior * (1 - p)))
+        out[k] = (np.rint(np.clip(x, -31, 31) * 256).astype(np.int32) << 2) | np.searchsorted([3, 30, 300], zero + one, side="right")
+    return (odds[node] * (2 * bit - 1)).astype(np.float32), out
 
-    def scores(self, texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each symbol row without its spelled bytes, and of the bytes of each spelled word, in order."""
-        if not texts:
-            return np.zeros(0), np.zeros(0)
-        size = np.array([len(t) for t in texts])
+
+@dataclass
+class Speller:
+    """Bits of a new word's bytes from the one, two and three bytes before, learned from the distinct words that aren't frequent; a space ends a word."""
+
+    counts: list[np.ndarray]
+
+    @staticmethod
+    def slots(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """For each bit of each word and its end: the bit, its slot in each order's table; and each word's number of bytes, the end included."""
+        size = np.array([len(w) + 1 for w in words])
+        byte = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.uint32)
+        back, x = [], byte
         starts = np.r_[0, np.cumsum(size)[:-1]]
-        symbols = np.fromiter(chain.from_iterable(texts), np.int64, int(size.sum()))
-        one, two = self.coder.contexts(symbols, starts)
-        text = np.repeat(np.arange(len(texts)), size)
-        # what a symbol's probability is added to: its text, or the word that it spells
-        owner = np.where(inside(symbols), len(texts) - 1 + np.cumsum(symbols == ESCAPE), text)
-        out = np.zeros(len(texts) + int((symbols == ESCAPE).sum()))
-        step = (np.arange(len(symbols)) - starts[text]) // STEP
-        order = np.argsort(step, kind="stable")  # step by step over all texts
-        symbols, one, two, text, owner, step = (x[order] for x in (symbols, one, two, text, owner, step))
-        weights = [np.tile(w, len(texts)) for w in first_weights()]
-        bounds = np.r_[0, np.cumsum(np.bincount(step))].tolist()
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):  # small enough to stay in a core's cache
-            bit, slots, n = self.coder.slots(symbols[lo:hi], one[lo:hi], two[lo:hi])
-            entry = [t[s] for t, s in zip(self.tables, slots, strict=True)]
-            here = np.repeat(text[lo:hi] * GATES + 16 * inside(symbols[lo:hi]), n)
-            here += (entry[1] & 3) * 4 + (entry[2] & 3)
-            z, *more = (np.multiply(e >> 2, np.float32(1 / 1024), dtype=np.float32) for e in entry)
-            # the weights sum to 1, so each context adds what it says beyond the node alone
-            for x in more:
-                x -= z
-            for w, x in zip(weights, more, strict=True):
-                z += w[here] * x
-            sign = 2 * bit.astype(np.float32) - 1
-            z *= sign
-            np.clip(z, -11, 11, out=z)
-            np.exp(z, out=z)
-            z += 1
-            np.divide(1, z, out=z)  # the probability of the other bit
-            out += np.bincount(np.repeat(owner[lo:hi], n), np.log(1 - z), len(out))
-            z *= sign
-            z *= RATE
-            for w, x in zip(weights, more, strict=True):
-                w += np.bincount(here, z * x, len(w))
-        out /= np.log(10)
-        return out[: len(texts)], out[len(texts) :]
-
-
-def first_weights() -> list[np.ndarray]:
-    """For the short and the long context: a weight for each gate."""
-    one = np.repeat(FIRST_WEIGHTS[:, 0], 4, axis=1).ravel()
-    two = np.tile(FIRST_WEIGHTS[:, 1], 4).ravel()
-    return [one.astype(np.float32), two.astype(np.float32)]
+        for _ in range(3):
+            x = np.r_[np.uint32(0), x[:-1]]
+            x[starts] = 0
+            back.append(x)
+        shifts = np.arange(7, -1, -1, dtype=np.uint32)
+        bit = ((byte[:, None] >> shifts) & 1).astype(np.uint8).ravel()
+        node = ((byte[:, None] | 256) >> (shifts + np.uint32(1))).ravel()
+        one = np.repeat(back[0] << np.uint32(8), 8) | node
+        two, three = np.repeat(back[0] | back[1] << np.uint32(8), 8), np.repeat(back[0] | back[1] << np.uint32(8) | back[2] << np.uint32(16), 8)
+        shift = np.uint32(32 - SPELL_BITS)
+        hashed = [((x * np.uint32(0x9E3779B1)) ^ (node * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35) >> shift for x in (two, three)]
+        return bit, [one, *hashed], size
+
+    def log10(self, words: list[bytes]) -> np.ndarray:
+        """log10 probability of each word."""
+        if not words:
+            return np.zeros(0)
+        bit, slots, size = self.slots(words)
+        odds, p = [], None
+        for table, s in zip(self.counts, slots, strict=True):
+            n0, n1 = (table[2 * s.astype(np.int64) + x].astype(np.float64) for x in (0, 1))
+            p = (n1 + 0.4) / (n0 + n1 + 0.8) if p is None else (n1 + 2 * p) / (n0 + n1 + 2)
+            odds.append(np.log(p / (1 - p)) * (2.0 * bit - 1))
+        # words go on side by side, a byte at a time; a long one in segments
+        of = np.repeat(np.arange(len(words)), size)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        segment = np.cumsum((place % SEGMENT) == 0) - 1
+        turn = place % SEGMENT
+        order = np.argsort(turn, kind="stable")
+        bounds = np.r_[0, np.cumsum(np.bincount(turn))].tolist()
+        weights = np.ones((segment[-1] + 1, 2))
+        out = np.zeros(len(words))
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            now = order[lo:hi]
+            at = (now[:, None] * 8 + np.arange(8)).ravel()
+            mine = np.repeat(segment[now], 8)
+            d2, d3 = odds[1][at] - odds[0][at], odds[2][at] - odds[1][at]
+            z = np.clip(odds[0][at] + weights[mine, 0] * d2 + weights[mine, 1] * d3, -14, 14)
+            miss = 1 / (1 + np.exp(z))
+            out += np.bincount(np.repeat(of[now], 8), np.log1p(-miss), len(out))
+            for k, d in enumerate((d2, d3)):
+                weights[:, k] += np.bincount(mine, RATE * miss * d, len(weights))
+        return out / np.log(10)
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -280,164 +569,302 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def learn(rows: DataFrame, *, most_words: int = 1 << 18, slot_bits: int = 22) -> tuple[Model, DataFrame]:
-    """The model of all rows(text), and the table word, c of its words' counts."""
-    spark = rows.sparkSession
-    counts = kept(word_counts(rows), "words")
-    texts = rows.count()
-    total, kinds, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
-    # frequent: all words with at least the least count that keeps them within most_words
+def _summed(rows: DataFrame, schema: str, key: str, value: str) -> DataFrame:
+    """rows(key, value: packed array) with the arrays of each key added up, 64-bit integers."""
+
+    def add(batches):
+        import pyarrow as pa
+
+        sums: dict = {}
+        for b in batches:
+            for k, data in zip(b.column(key).to_pylist(), b.column(value), strict=True):
+                (x,) = unpacked(data.as_buffer())
+                sums[k] = sums[k] + x if k in sums else x.astype(np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([packed(x) for x in sums.values()], pa.binary())], [key, value])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, key).mapInArrow(add, schema)
+
+
+def speller(words: DataFrame) -> Speller:
+    """Learned from the distinct words of words(word), one row each."""
+    sizes = [1 << 16, 1 << SPELL_BITS, 1 << SPELL_BITS]
+    block = 1 << 15
+    first = np.r_[0, np.cumsum([2 * n // block for n in sizes])]
+
+    def count(batches):
+        import pyarrow as pa
+
+        sums = [np.zeros(2 * n, np.int64) for n in sizes]
+        for b in batches:
+            for lo in range(0, b.num_rows, 20_000):
+                bit, slots, _ = Speller.slots(b.column("word").slice(lo, 20_000).to_pylist())
+                for n, s in zip(sums, slots, strict=True):
+                    n += np.bincount(2 * s.astype(np.int64) + bit, minlength=len(n))
+        for k, n in enumerate(sums):
+            some = [(int(first[k]) + i, x) for i, x in enumerate(n.reshape(-1, block)) if x.any()]
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), pa.array([packed(x) for _, x in some], pa.binary())], ["block", "n"])
+
+    # few tasks: each sends its whole tables
+    few = words.coalesce(max(1, words.sparkSession.sparkContext.defaultParallelism))
+    sums = np.zeros((int(first[-1]), block), np.float32)
+    for r in _summed(few.mapInArrow(count, "block int, n binary"), "block int, n binary", "block", "n").toLocalIterator():
+        sums[r.block] = unpacked(bytes(r.n))[0]
+    return Speller([x.ravel() for x in np.split(sums, first[1:-1])])
+
+
+def frequent_words(counts: DataFrame, most_words: int) -> list[tuple[bytes, int]]:
+    """All words with at least the least count, 2 or more, that keeps them within most_words, by falling count."""
     least, have = None, 0
-    by_count = {}
-    for r in counts.where("c >= 2").groupBy(F.floor(F.log2("c") * 16).alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect():
-        by_count[r.k] = r.n, r.c
+    by_count = {r.k: (r.n, r.c) for r in counts.where("c >= 2").groupBy(F.floor(F.log2("c") * 16).alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()}
     for k in sorted(by_count, reverse=True):
         have += by_count[k][0]
         if have > most_words:
             break
         least = by_count[k][1]
-    frequent = [] if least is None else sorted(((bytes(r.word), r.c) for r in counts.where(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))
-    words = {w: FIRST_WORD + i for i, (w, _) in enumerate(frequent)}
-    rest = counts if least is None else counts.where(F.col("c") < least)
+    return [] if least is None else sorted(((bytes(r.word), r.c) for r in counts.where(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))
 
-    def spelled(batches):
-        import pyarrow as pa
 
-        by_byte, n = np.zeros(256), 0
-        for b in batches:
-            c = b.column("c").to_numpy()
-            n += int(c.sum())
-            data = b.column("word").to_pylist()
-            each = np.frombuffer(b"".join(data), np.uint8)
-            by_byte += np.bincount(each, np.repeat(c, [len(x) for x in data]), 256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(257)), pa.array(np.r_[by_byte, n].astype(np.int64))], ["byte", "n"])
-
-    spelling = {r.byte: r.n for r in rest.mapInArrow(spelled, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()}
-    escapes = spelling.get(256, 0)
-    weight = np.array([texts, escapes, escapes, *[spelling.get(b, 0) for b in range(256)], *[c for _, c in frequent]]) + 1
-    coder = Coder(words, huffman(weight), slot_bits)
-    tables = _tables(rows, coder)
-    token_counts = np.array([texts, *[0] * (FIRST_WORD - 1), *[c for _, c in frequent]], np.int64)
-    return Model(coder, tables, token_counts, total + texts, kinds + (texts > 0), escapes, once), counts
-
-
-def _tables(rows: DataFrame, coder: Coder) -> list[np.ndarray]:
-    """The predictors' tables: each task counts bits by slot, blocks of slots are added up by key, and one 16-bit entry a slot comes back."""
-    sent, key = rows.sparkSession.sparkContext.broadcast(coder), uuid.uuid4().hex
-    sizes = coder.sizes()
+#: Kinds of rows on their way to the partitions and back.
+ASKED, TEXTS, CLASS_COUNTS, ANSWER, GATHERED = range(5)
 
-    def count(batches):
+
+def _ask(rows: DataFrame, coder: Coder, sent, key: str, schema: str) -> DataFrame:
+    """Chunks of rows(id, text, learn): each one's texts, its distinct pairs for each partition, and each task's learning counts by short context and symbol."""
+
+    def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         coder = held(("coder", key), lambda: sent.value)
-        sums = [np.zeros(2 * n, np.uint32) for n in sizes]
-        seen = np.zeros(len(coder.code.first) - 1, np.int64)
-        for b in batches:
-            for group in _batches_of_texts(b.column("text").to_pylist(), coder.words, 400_000):
-                texts = [coder.symbols(w, at) for _, w, at in group]
-                size = np.array([len(t) for t in texts])
-                symbols = np.fromiter(chain.from_iterable(texts), np.int64, int(size.sum()))
-                one, two = coder.contexts(symbols, np.r_[0, np.cumsum(size)[:-1]])
-                seen += np.bincount(symbols, minlength=len(seen))
-                for lo in range(0, len(symbols), 4_000):
-                    bit, slots, _ = coder.slots(symbols[lo : lo + 4_000], one[lo : lo + 4_000], two[lo : lo + 4_000])
-                    for n, s in zip(sums[1:], slots[1:], strict=True):
-                        np.add.at(n, 2 * s.astype(np.int64) + bit, np.uint32(1))
-        # the node alone: each symbol's decisions, as often as it was seen
-        sums[0] += np.bincount(coder.code.path, np.repeat(seen, np.diff(coder.code.first)), len(sums[0])).astype(np.uint32)
-        for order, n in enumerate(sums):
-            blocks = n.reshape(-1, 2 * BLOCK)
-            some = np.flatnonzero(blocks.any(1))
-            for lo in range(0, len(some), 32):
-                part = some[lo : lo + 32]
-                yield pa.RecordBatch.from_arrays([pa.array([order] * len(part), pa.int32()), pa.array(part, pa.int32()), pa.array([_pack_counts(blocks[i]) for i in part], pa.binary())], ["order", "block", "n"])
+        n_symbols = len(coder.code.leaf)
+        by_class = np.zeros(CLASSES * n_symbols, np.int64)
+        task, k, names = TaskContext.get().partitionId(), 0, [c.split()[0] for c in schema.split(", ")]
+
+        def out(kind, dest, chunk, data, ids=None, learn=None, size=None):
+            n = len(dest)
+            some = [pa.array([x], t) if x is not None else pa.nulls(n, t) for x, t in ((ids, pa.list_(id_type)), (learn, pa.list_(pa.bool_())), (size, pa.list_(pa.int64())))]
+            return pa.RecordBatch.from_arrays([pa.array(dest, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array(chunk, pa.int64()), pa.array(data, pa.binary()), *some], names)
+
+        id_type = None
+        for c, slices in chunks(batches, coder.words):
+            ids = pa.chunked_array([b.column("id").slice(lo, n) for b, lo, n in slices]).combine_chunks()
+            learn = pa.chunked_array([b.column("learn").slice(lo, n) for b, lo, n in slices]).to_numpy()
+            size = pa.chunked_array([pc.fill_null(pc.binary_length(b.column("text").slice(lo, n)), 0).cast(pa.int64()) for b, lo, n in slices]).to_pylist()
+            id_type = ids.type
+            many = np.diff(np.r_[c.starts, len(c.symbols)])
+            by_symbol = np.repeat(learn, many)
+            by_class += np.bincount((c.classes() * n_symbols + c.symbols)[by_symbol], minlength=len(by_class))
+            part, pairs = c.pairs(coder)
+            present, bounds, kinds, where = distinct_pairs(part, pairs)
+            times = np.bincount(where, np.r_[by_symbol, by_symbol[c.symbols == RARE]], len(kinds)).astype(np.int64)
+            chunk = task << 24 | k
+            k += 1
+            for lo in range(0, len(present), 64):  # a few blobs at a time
+                mine = list(zip(present[lo : lo + 64].tolist(), bounds[lo:].tolist(), bounds[lo + 1 :].tolist(), strict=False))
+                yield out(ASKED, [p for p, _, _ in mine], [chunk] * len(mine), [packed(kinds[x:y], times[x:y]) for _, x, y in mine])
+            texts = packed(many, c.symbols.astype(np.int64))
+            words = pa.compress(spelled := b" ".join(c.rare), "zstd", asbytes=True)
+            data = np.array([len(texts), len(spelled)], "<i8").tobytes() + texts + words
+            yield out(TEXTS, [chunk * 2_654_435_761 % coder.parts], [chunk], [data], ids, learn.tolist(), size)
+        id_type = id_type or pa.null()
+        wide = 1 << 16
+        for at in range(0, len(by_class), wide):
+            if (x := by_class[at : at + wide]).any():
+                yield out(CLASS_COUNTS, [at // wide % coder.parts], [at // wide], [packed(x)])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _answered(asked: DataFrame, coder: Coder, sent, odds, key: str, schema: str) -> DataFrame:
+    """What _ask() gave, by partition: the pairs answered for each chunk, the class counts added up, what paths() gathered, and the texts as they are."""
 
-    def add(batches):
+    def run(batches):
         import pyarrow as pa
 
-        at, n = None, None
+        code, z = held(("answers", key), lambda: (sent.value.code, odds.value))
+        blobs, classes, names = [], {}, [c.split()[0] for c in schema.split(", ")]
+        dest, id_types = 0, None
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([_entries(n).tobytes()], pa.binary())], ["order", "block", "n"])
+        def out(kind, chunk, data):
+            n = len(chunk)
+            return pa.RecordBatch.from_arrays([pa.array([dest] * n, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array(chunk, pa.int64()), pa.array(data, pa.binary()), *[pa.nulls(n, t) for t in id_types]], names)
 
         for b in batches:
-            for k in zip(*[b.column(c).to_pylist() for c in ("order", "block", "n")], strict=True):
-                if k[:2] != at:
-                    if at is not None:
-                        yield out()
-                    at, n = k[:2], np.zeros(2 * BLOCK, np.int64)
-                n += _unpack_counts(k[2])
-        if at is not None:
-            yield out()
-
-    schema = "order int, block int, n binary"
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = rows.select("text").mapInArrow(count, schema).repartition(parts, "order", "block").sortWithinPartitions("order", "block").mapInArrow(add, schema)
-    tables = [np.zeros(n, "<i2") for n in sizes]
-    for r in blocks.toLocalIterator():
-        tables[r.order][r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.n, "<i2")
-    return tables
-
-
-def language_scores(docs: DataFrame, *, learns: Column | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+            id_types = [b.column(c).type for c in ("ids", "learn", "size")]
+            kind = b.column("kind").to_numpy()
+            if (kind == TEXTS).any():
+                yield b.filter(pa.array(kind == TEXTS))
+            for i in np.flatnonzero(kind != TEXTS).tolist():
+                chunk, data = b.column("chunk")[i].as_py(), b.column("data")[i].as_py()
+                dest = b.column("dest")[i].as_py()
+                if kind[i] == CLASS_COUNTS:
+                    (x,) = unpacked(data)
+                    classes[chunk] = classes[chunk] + x if chunk in classes else x.astype(np.int64)
+                else:
+                    blobs.append((chunk, data))
+        for chunk, x in classes.items():
+            yield out(CLASS_COUNTS, [chunk], [packed(x)])
+        if not blobs:
+            return
+        keys, times = zip(*(unpacked(d) for _, d in blobs), strict=True)
+        sizes = [len(k) for k in keys]
+        of = [chunk for chunk, _ in blobs]
+        del blobs
+        kinds, where = np.unique(np.concatenate(keys).astype(np.uint64), return_inverse=True)
+        counts = np.bincount(where, np.concatenate(times), len(kinds)).astype(np.int64)
+        del keys, times
+        size, data, gathered = paths(kinds, counts, code, z)
+        first = np.r_[0, np.cumsum(size)]
+        at = 0
+        for chunk, n in zip(of, sizes, strict=True):
+            mine = where[at : at + n]  # ascending
+            at += n
+            many = size[mine]
+            place = np.arange(int(many.sum())) + np.repeat(first[mine] - (np.cumsum(many) - many), many)
+            yield out(ANSWER, [chunk], [packed(many, data[place].astype(np.uint64))])
+        yield out(GATHERED, [dest], [gathered.astype("<f8").tobytes()])
+
+    return asked.repartitionById(coder.parts, "dest").mapInArrow(run, schema)
+
+
+def language_scores(docs: DataFrame, *, learns: Column | None = None, id_col: str = "doc_id", text_col: str = "text", most_words: int = 1 << 18) -> DataFrame:
     """One row for each row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     learns: which rows to learn from, an expression on columns of docs (default: all); held_out is its opposite. Tokens are the words, then one end. base_score adds up
     log10((c + 0.5) / (N + 0.5 * (V + 1))); score is the mixing model's log10 probability of the text. A null text counts as empty: its end alone.
-    bits_per_byte is null for an empty text. With nothing to learn from N is 0. Repeated rows are scored each; an empty table gives none.
+    bits_per_byte is null for an empty text. With nothing to learn from N is 0. Repeated rows are scored each; an empty table gives none. Only the named columns are read.
+    most_words bounds what is broadcast; other words are joined.
     """
+    spark = docs.sparkSession
     learns = F.lit(True) if learns is None else F.coalesce(learns, F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), learns.alias("learn"))
-    model, counts = learn(rows.where("learn").select("text"), **options)
-    sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    learning = rows.where("learn").select("text")
+    counts = kept(word_counts(learning), "words")
+    texts = learning.count()
+    total, vocabulary, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
+    frequent = frequent_words(counts, most_words)
+    least = frequent[-1][1] if frequent else None
+    others = counts if least is None else counts.where(F.col("c") < least)
+    # leaving out one occurrence, a word of the least frequent count isn't frequent, and one seen once is new
+    near = 0 if least is None else counts.where(F.col("c").between(2, least)).agg(F.sum("c")).first()[0] or 0
+    rare_tokens = total - sum(c for _, c in frequent)
+    weight = np.array([texts, rare_tokens, *[c for _, c in frequent]]) + 1
+    parts = max(spark.sparkContext.defaultParallelism, -(-(total + texts) // PART))
+    coder = Coder({w: FIRST_WORD + i for i, (w, _) in enumerate(frequent)}, huffman(weight), parts)
+    spell = speller(others)
+
+    key, context = uuid.uuid4().hex, spark.sparkContext
+    sent = context.broadcast(coder)
+    id_type = rows.schema["id"].dataType.simpleString()
+    schema = f"dest int, kind int, chunk long, data binary, ids array<{id_type}>, learn array<boolean>, size array<long>"
+    node_odds = context.broadcast(short_table(coder.code, weight[None, :])[0])
+    answers = kept(_answered(_ask(rows, coder, sent, key, schema), coder, sent, node_odds, key, schema), "answers")
+    gathered = np.zeros(ODDS * N_STATES * N_STATES)
+    by_class = np.zeros(CLASSES * len(weight), np.int64)
+    for r in answers.where(F.col("kind").isin(GATHERED, CLASS_COUNTS)).select("kind", "chunk", "data").toLocalIterator():
+        if r.kind == GATHERED:
+            gathered += np.frombuffer(bytes(r.data), "<f8")
+        else:
+            x = unpacked(bytes(r.data))[0]
+            by_class[r.chunk << 16 : (r.chunk << 16) + len(x)] += x.astype(np.int64)
+    by_class = by_class.reshape(CLASSES, -1)
+    by_class[0] += 1  # as the code's weights have it, so that no symbol is impossible
+    odds, short = short_table(coder.code, by_class)
+    long, gate, weights = long_context(gathered)
+    token_counts = np.array([texts, 0, *[c for _, c in frequent]], np.int64)
+    known = (near + 1) / (near + once + 2)
+    model = Model(Coder({}, coder.code, parts), odds, short, token_counts, total + texts, vocabulary + (texts > 0), known, long, gate, (np.ones(GATES, np.float32), weights))
+    model_sent = context.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        model = held(("model", key), lambda: sent.value)
-        part, n = TaskContext.get().partitionId() << 40, 0
+        model = held(("model", key), lambda: model_sent.value)
+
+        def scored(head, told):
+            chunk_id, data, ids, learn, size = head
+            n_texts, n_words = np.frombuffer(data, "<i8", 2).tolist()
+            many, symbols = (x.astype(np.int64) for x in unpacked(data[16 : 16 + n_texts]))
+            rare = pa.decompress(data[16 + n_texts :], n_words, "zstd", asbytes=True).split(b" ") if n_words else []
+            c = Chunk(np.r_[0, np.cumsum(many)[:-1]], symbols, rare)
+            part, pairs = c.pairs(model.coder)
+            order, bounds, kinds, where = distinct_pairs(part, pairs)
+            got = [unpacked(told[p]) for p in order.tolist()]
+            score, left = model.scores(c, np.concatenate([g[0] for g in got]).astype(np.int64), np.concatenate([g[1] for g in got]).astype(np.uint8), where)
+            base = model.base(model.counts[symbols])
+            base[symbols == RARE] = 0
+            text = np.repeat(np.arange(len(many)), many)
+            known = np.bincount(text, model.counts[symbols] > 0, len(many)).astype(np.int64)
+            base = np.bincount(text, base, len(many))
+            n_rare = np.bincount(text[symbols == RARE], minlength=len(many))
+            words, times, misses, at = [], [], [], 0
+            for n in n_rare.tolist():
+                of: dict[bytes, list[int]] = {}
+                for w, x in zip(rare[at : at + n], left[at : at + n].tolist(), strict=True):
+                    y = of.setdefault(w, [0, 0])
+                    y[0] += 1
+                    y[1] += x
+                at += n
+                words.append(list(of))
+                times.append([x for x, _ in of.values()])
+                misses.append([x for _, x in of.values()])
+            number = pa.array([f"{chunk_id}:{i}" for i in range(len(many))])
+            lists = [pa.array(words, pa.list_(pa.binary())), *[pa.array(x, pa.list_(pa.int64())) for x in (times, misses)]]
+            values = [pa.array(many), pa.array(known), pa.array(base), pa.array(score / np.log(10))]
+            return pa.RecordBatch.from_arrays([number, ids, learn, size, *values, *lists], ["row", "id", "learn", "n_bytes", "n_tokens", "known", "base", "score", "words", "times", "misses"])
+
+        head, told = None, {}
         for b in batches:
-            ids, learn = b.column("id"), b.column("learn")
-            size = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
-            for group in _batches_of_texts(b.column("text").to_pylist(), model.coder.words):
-                score, spelling = model.scores([model.coder.symbols(w, at) for _, w, at in group])
-                known, base, unknown, times, spelled, tokens, k = [], [], [], [], [], [], 0
-                for _, w, at in group:
-                    s = np.array([END, *[x for x in at if x is not None]])
-                    c = model.counts[s]
-                    known.append(int((c > 0).sum()))
-                    base.append(float(model.base(c).sum()))
-                    rare: dict[bytes, list[float]] = {}
-                    for x, y in zip(w, at, strict=True):
-                        if y is None:
-                            rare.setdefault(x, []).append(float(spelling[k]))
-                            k += 1
-                    unknown.append(list(rare))
-                    times.append([len(x) for x in rare.values()])
-                    spelled.append([sum(x) for x in rare.values()])
-                    tokens.append(len(w) + 1)
-                first = group[0][0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(part + n, part + n + len(group)), pa.int64()), ids.slice(first, len(group)), learn.slice(first, len(group)), size.slice(first, len(group)), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(unknown, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())), pa.array(spelled, pa.list_(pa.float64()))],
-                    ["row", "id", "learn", "n_bytes", "n_tokens", "known", "base", "score", "words", "times", "spelled"],
-                )
-                n += len(group)
-
-    id_type = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"row long, id {id_type}, learn boolean, n_bytes long, n_tokens long, known long, base double, score double, words array<binary>, times array<long>, spelled array<double>")
+            for i in range(b.num_rows):
+                if b.column("kind")[i].as_py() == TEXTS:  # comes first of its chunk
+                    if head is not None:
+                        yield scored(head, told)
+                    head, told = (b.column("chunk")[i].as_py(), b.column("data")[i].as_py(), *[b.column(c)[i].values for c in ("ids", "learn", "size")]), {}
+                else:
+                    told[b.column("dest")[i].as_py()] = b.column("data")[i].as_py()
+        if head is not None:
+            yield scored(head, told)
+
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts)
+    by_chunk = answers.where(F.col("kind").isin(TEXTS, ANSWER)).repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
+    scored = by_chunk.mapInArrow(run, f"row string, id {id_type}, learn boolean, n_bytes long, n_tokens long, known long, base double, score double, words array<binary>, times array<long>, misses array<long>")
     scored = kept(scored, "scored")
-    # the words that no worker holds: their counts are joined, and what they add is summed by row
-    rare = scored.select("row", F.explode(F.arrays_zip("words", "times", "spelled")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"), "x.spelled")
-    c, n = F.coalesce(F.col("c"), F.lit(0)), F.col("n")
-    floor, known = model.train_tokens + 0.5 * (model.kinds + 1), model.rare_known()
-    in_corpus = n * F.log10(F.lit(known) * c / F.lit(float(max(1, model.rare_tokens))))
-    found = rare.join(counts, "word", "left").select(
-        "row", F.when(c > 0, n).otherwise(0).alias("known"), (n * F.log10((c + 0.5) / F.lit(floor))).alias("base"), F.when(c > 0, in_corpus).otherwise(n * F.lit(float(np.log10(1 - known))) + F.col("spelled")).alias("score")
-    )
+    # the words that no worker holds: their counts are joined, new ones are spelled, and what they add is summed by row
+    rare = scored.select("row", F.explode(F.arrays_zip("words", "times", "misses")).alias("x")).select("row", F.col("x.words").alias("word"), "x.times", "x.misses")
+    spell_sent = context.broadcast(spell)
+    share = float(np.log10(known / max(1, rare_tokens)))
+
+    def other_words(batches):
+        import pyarrow as pa
+
+        speller = held(("speller", key), lambda: spell_sent.value)
+        for b in batches:
+            c = np.nan_to_num(b.column("c").to_numpy(zero_copy_only=False).astype(float))
+            times, misses = b.column("times").to_numpy(), b.column("misses").to_numpy()
+            add = np.zeros(len(c))
+            add[c > 0] = np.log10(c[c > 0]) + share
+            new = np.flatnonzero((c == 0) & (misses > 0))
+            words = b.column("word").take(pa.array(new)).to_pylist()
+            distinct = list(dict.fromkeys(words))
+            cost = {}
+            for lo in range(0, len(distinct), 4096):
+                cost |= zip(distinct[lo : lo + 4096], speller.log10(distinct[lo : lo + 4096]).tolist(), strict=True)
+            add[new] = [cost[w] for w in words]
+            add[new] += np.log10(1 - known)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.where(c > 0, times, 0)), pa.array(times * model_base(c)), pa.array(misses * add)], ["row", "known", "base", "score"])
+
+    floor = model.train_tokens + 0.5 * (model.kinds + 1)
+
+    def model_base(c):
+        return np.log10((c + 0.5) / floor)
+
+    found = rare.join(counts, "word", "left").mapInArrow(other_words, "row string, known long, base double, score double")
     more = found.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("score").alias("more_score"))
     return (
-        scored.drop("words", "times", "spelled")
+        scored.drop("words", "times", "misses")
         .join(more, "row", "left")
         .select(
             F.col("id").alias(id_col),
