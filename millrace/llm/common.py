@@ -29,11 +29,21 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{scratch(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark deletes a query's shuffle files at its end; it makes them again if the query is run once more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame, what: str) -> DataFrame:
-    """df written to the scratch folder and read back: cuts its lineage, survives lost executors, and is computed once however often it is used."""
-    path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the scratch folder and read back: cuts its lineage, survives lost executors, and is computed once however often it is used. What was shuffled
+    for it is deleted."""
+    spark = df.sparkSession
+    path, before = scratch_path(spark, what), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:

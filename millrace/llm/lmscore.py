@@ -32,11 +32,11 @@ from millrace.llm.common import held, kept
 #: Symbols that aren't frequent words: the end of a text, and any other word.
 END, RARE, FIRST_WORD = 0, 1, 2
 #: Short contexts: which of so many of the most frequent words stood last; 0 for none.
-CLASSES = 64
+CLASSES = 32
 #: A (context, symbol) pair is 32 bits of the context's hash and LOW bits: the symbol's place among the code's leaves, or RARE_BIT and hash bits of another word.
 LOW, RARE_BIT = 24, 1 << 23
 #: Tokens of a chunk, and of a partition of contexts.
-CHUNK, PART = 1_000_000, 3_000_000
+CHUNK, PART = 500_000, 2_000_000
 #: Symbols of a text before the weights are first refined, and between refinements.
 FIRST_STEP, STEP = 16, 64
 RATE = 0.02
@@ -523,7 +523,7 @@ class Speller:
         odds, p = [], None
         for table, s in zip(self.counts, slots, strict=True):
             n0, n1 = (table[2 * s.astype(np.int64) + x].astype(np.float64) for x in (0, 1))
-            p = (n1 + 0.4) / (n0 + n1 + 0.8) if p is None else (n1 + 2 * p) / (n0 + n1 + 2)
+            p = np.clip((n1 + 0.4) / (n0 + n1 + 0.8) if p is None else (n1 + 2 * p) / (n0 + n1 + 2), 1e-6, 1 - 1e-6)
             odds.append(np.log(p / (1 - p)) * (2.0 * bit - 1))
         # words go on side by side, a byte at a time; a long one in segments
         of = np.repeat(np.arange(len(words)), size)
@@ -640,7 +640,7 @@ def _ask(rows: DataFrame, coder: Coder, sent, key: str, schema: str) -> DataFram
 
         coder = held(("coder", key), lambda: sent.value)
         n_symbols = len(coder.code.leaf)
-        by_class = np.zeros(CLASSES * n_symbols, np.int64)
+        by_class = np.zeros(CLASSES * n_symbols, np.uint32)
         task, k, names = TaskContext.get().partitionId(), 0, [c.split()[0] for c in schema.split(", ")]
 
         def out(kind, dest, chunk, data, ids=None, learn=None, size=None):
@@ -656,7 +656,8 @@ def _ask(rows: DataFrame, coder: Coder, sent, key: str, schema: str) -> DataFram
             id_type = ids.type
             many = np.diff(np.r_[c.starts, len(c.symbols)])
             by_symbol = np.repeat(learn, many)
-            by_class += np.bincount((c.classes() * n_symbols + c.symbols)[by_symbol], minlength=len(by_class))
+            cells, times = np.unique((c.classes() * n_symbols + c.symbols)[by_symbol], return_counts=True)
+            by_class[cells] += times.astype(np.uint32)
             part, pairs = c.pairs(coder)
             present, bounds, kinds, where = distinct_pairs(part, pairs)
             times = np.bincount(where, np.r_[by_symbol, by_symbol[c.symbols == RARE]], len(kinds)).astype(np.int64)
