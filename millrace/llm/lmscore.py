@@ -40,6 +40,8 @@ CHUNK, PART = 500_000, 2_000_000
 #: Symbols of a text before the weights are first refined, and between refinements.
 FIRST_STEP, STEP = 16, 64
 RATE = 0.02
+#: Symbols of texts that are scored side by side: few enough for a core's cache.
+GROUP = 20_000
 #: Steps of a count that share a state: 0, 1, 2, 3, then from each bound on.
 STATES = np.searchsorted([1, 2, 3, 4, 6, 9, 15, 31, 100], np.arange(101), side="right")
 N_STATES = 10
@@ -69,33 +71,40 @@ class Code:
     length: np.ndarray
 
 
-def huffman(weights: np.ndarray) -> Code:
-    """The code for symbols of these weights (at least two); ties are broken by place."""
+def code_lengths(weights: np.ndarray) -> np.ndarray:
+    """Lengths of the Huffman code for symbols of these weights (at least two); ties are broken by place."""
     n = len(weights)
     heap = [(int(w), i) for i, w in enumerate(weights)]
     heapq.heapify(heap)
-    parent, bit = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.int64)
+    parent = [0] * (2 * n - 1)
     for node in range(n, 2 * n - 1):
         (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
         parent[x] = parent[y] = node
-        bit[y] = 1
         heapq.heappush(heap, (a + b, node))
-    root, at, steps = 2 * n - 2, np.arange(n), []
-    while (at != root).any():
-        inner = at != root
-        steps.append(np.where(inner, 2 * (parent[at] - n) + bit[at], -1))
-        at = np.where(inner, parent[at], root)
-    length = np.sum([s >= 0 for s in steps], axis=0)
-    first = np.r_[0, np.cumsum(length)].astype(np.int64)
-    path, bits = np.empty(int(first[-1]), np.int32), np.zeros(n, np.uint64)
-    for up, s in enumerate(steps):  # from the leaf up, so the last decision comes first
-        has = s >= 0
-        path[first[1:][has] - 1 - up] = s[has]
-        bits[has] |= (s[has] & 1).astype(np.uint64) << (64 - length[has] + up).astype(np.uint64)
-    order = np.argsort(bits)
+    depth = [0] * (2 * n - 1)
+    for i in range(2 * n - 3, -1, -1):
+        depth[i] = depth[parent[i]] + 1
+    return np.array(depth[:n], np.uint8)
+
+
+def code_of(lengths: np.ndarray) -> Code:
+    """The canonical code of these lengths: leaves stand by length, then by symbol."""
+    n, length = len(lengths), lengths.astype(np.int64)
+    order = np.argsort(length, kind="stable")
     leaf = np.empty(n, np.int64)
     leaf[order] = np.arange(n)
-    return Code(first, path, leaf, bits[order], length[order])
+    of = length[order]
+    widths = np.uint64(1) << (64 - of).astype(np.uint64)
+    bits = np.cumsum(widths) - widths  # from the top bit down; the sum of all is 2^64, that is 0
+    first = np.r_[0, np.cumsum(length)]
+    path, nodes = np.empty(int(first[-1]), np.int32), 0
+    for k in range(int(of[-1])):
+        here = np.searchsorted(of, k, side="right")  # leaves from here on lie deeper than k
+        above = bits[here:] >> np.uint64(64 - k) if k else np.zeros(n - here, np.uint64)
+        node = np.cumsum(np.r_[0, above[1:] != above[:-1]]) + nodes
+        nodes = int(node[-1]) + 1
+        path[first[order[here:]] + k] = 2 * node + (bits[here:] >> np.uint64(63 - k) & np.uint64(1)).astype(np.int64)
+    return Code(first, path, leaf, bits, of)
 
 
 def step_bounds(place: np.ndarray) -> np.ndarray:
@@ -152,6 +161,19 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     return out
 
 
+@dataclass
+class Alphabet:
+    """What is broadcast of the symbols: the frequent words by falling count, one space between two; every symbol's learning count and code length; the number of partitions of contexts."""
+
+    words: bytes
+    counts: np.ndarray
+    lengths: np.ndarray
+    parts: int
+
+    def coder(self) -> Coder:
+        return Coder({w: FIRST_WORD + i for i, w in enumerate(self.words.split())}, code_of(self.lengths), self.parts)
+
+
 @dataclass
 class Coder:
     """What turns texts into symbols and pairs: the frequent words, the code, and the number of partitions of contexts."""
@@ -363,37 +385,34 @@ class Model:
         data = np.r_[data, np.uint8(0)]
         offset, size = np.where(size > 0, offset, len(data) - 1), np.maximum(size, 1)  # an unknown context has a count of 0
         text = np.repeat(np.arange(len(chunk.starts)), np.diff(np.r_[chunk.starts, n]))
-        short = chunk.classes()
+        short = chunk.classes() * self.short.shape[1]
         step = step_bounds(np.arange(n) - chunk.starts[text])
         rare = np.full(n, -1)
         rare[np.flatnonzero(chunk.symbols == RARE)] = np.arange(len(chunk.rare))
         left = np.ones(len(chunk.rare), bool)
         out = np.zeros(len(chunk.starts))
-        nodes = self.short.shape[1]
-        w1, w2 = (np.tile(w, len(chunk.starts)) for w in self.weights)
-        w3 = np.ones(len(chunk.starts), np.float32)
-        groups = np.searchsorted(chunk.starts, np.arange(0, n, 40_000))  # texts that go on together: few enough for a core's cache
+        entries = self.short.ravel()
+        groups = np.searchsorted(chunk.starts, np.arange(0, n, GROUP))  # texts that go on together
         groups = np.unique(np.r_[groups[groups < len(chunk.starts)], len(chunk.starts)])
         for t0, t1 in zip(groups[:-1].tolist(), groups[1:].tolist(), strict=True):
             first, last = int(chunk.starts[t0]), int(chunk.starts[t1]) if t1 < len(chunk.starts) else n
             order = first + np.argsort(step[first:last], kind="stable")
             bounds = np.r_[0, np.cumsum(np.bincount(step[first:last]))].tolist()
+            w1, w2 = (np.tile(w, t1 - t0) for w in self.weights)
+            w3, total = np.ones(t1 - t0, np.float32), np.zeros(t1 - t0)
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 now = order[lo:hi]
-                s = chunk.symbols[now]
+                s, mine, pair = chunk.symbols[now], text[now] - t0, where[now]
                 begin = code.first[s]
                 many = code.first[s + 1] - begin
-                depth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                place = np.repeat(begin, many) + depth
+                of = np.repeat(np.arange(len(now)), many)
+                depth = np.arange(len(of)) - (np.cumsum(many) - many)[of]
+                place = begin[of] + depth
                 z, taken = self.odds[place], code.path[place]
-                e = self.short.ravel()[np.repeat(short[now] * nodes, many) + (taken >> 1)]
-                sign = (2 * (taken & 1) - 1).astype(np.float32)
+                e = entries[short[now][of] + (taken >> 1)]
                 x1 = (e >> 2).astype(np.float32)
-                x1 *= sign
-                x1 *= np.float32(1 / 256)
-                pair = where[now]
-                end = np.repeat(size[pair] - 1, many)
-                at = np.repeat(offset[pair], many)
+                x1 *= ((taken & 1) * np.float32(1 / 128) - np.float32(1 / 256)).astype(np.float32)
+                end, at = (size[pair] - 1)[of], offset[pair][of]
                 seen = data[at + np.minimum(depth, end)].astype(np.uint16)
                 depth += 1
                 seen <<= 8
@@ -403,31 +422,31 @@ class Model:
                 d2 -= x1
                 d2 *= gate > 0
                 x1 -= z
-                mine = text[now]
-                here = np.repeat(mine * GATES, many)
-                here += gate.astype(np.int64) * 4 + (e & 3)
+                here = (mine * GATES)[of]
+                here += (gate << 2) | (e & 3).astype(np.uint8)
                 z = z + w1[here] * x1
                 z += w2[here] * d2
                 np.clip(z, -14, 14, out=z)
                 np.exp(z, out=z)
                 z += 1  # 1 / z is now the probability of the other bit
                 np.divide(1, z, out=z)
-                out += np.bincount(np.repeat(mine, many), np.log1p(-z), len(out))
+                total += np.bincount(mine[of], np.log1p(-z), len(total))
                 z *= np.float32(RATE)
-                w1 += np.bincount(here, z * x1, len(w1))
-                w2 += np.bincount(here, z * d2, len(w2))
+                w1 += np.bincount(here, z * x1, len(w1)).astype(np.float32)
+                w2 += np.bincount(here, z * d2, len(w2)).astype(np.float32)
                 # other words: is it the one that the context saw most?
                 other = now[rare[now] >= 0]
                 pair = where[n + rare[other]]
                 told = size[pair] == 3
                 other, pair = other[told], pair[told]
                 if len(other):
-                    at = offset[pair]
+                    at, mine = offset[pair], text[other] - t0
                     x = self.long[data[at].astype(np.uint16) << 8 | data[at + 1]]
-                    z = 1 / (1 + np.exp(np.clip(w3[text[other]] * x, -14, 14)))
-                    out += np.bincount(text[other], np.log1p(-z), len(out))
-                    w3 += np.bincount(text[other], RATE * z * x, len(w3)).astype(np.float32)
+                    z = 1 / (1 + np.exp(np.clip(w3[mine] * x, -14, 14)))
+                    total += np.bincount(mine, np.log1p(-z), len(total))
+                    w3 += np.bincount(mine, RATE * z * x, len(w3)).astype(np.float32)
                     left[rare[other[data[at + 2] == 1]]] = False
+            out[t0:t1] = total
         return out, left
 
 
@@ -463,8 +482,29 @@ def long_context(gathered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return odds.ravel().astype(np.float32), gate.ravel().astype(np.uint8), np.repeat(first, 4).astype(np.float32)
 
 
-def short_table(code: Code, by_class: np.ndarray, prior: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
-    """Order 0's odds of each decision as taken, and the short contexts' entries by node. by_class: learning counts by short context and symbol."""
+@dataclass
+class Learned:
+    """What is broadcast of the corpus: the alphabet, packed learning counts of the symbols for each short context, and what is known of long ones and of words."""
+
+    alphabet: Alphabet
+    by_class: list[bytes]
+    long: np.ndarray
+    gate: np.ndarray
+    first: np.ndarray
+    train_tokens: int
+    kinds: int
+    known: float
+
+    def model(self) -> Model:
+        coder = Coder({}, code_of(self.alphabet.lengths), self.alphabet.parts)
+        odds, short = short_table(coder.code, self.alphabet.counts, (unpacked(x)[0] for x in self.by_class), len(self.by_class))
+        counts = self.alphabet.counts - 1
+        counts[RARE] = 0
+        return Model(coder, odds, short, counts, self.train_tokens, self.kinds, self.known, self.long, self.gate, (np.ones(GATES, np.float32), self.first))
+
+
+def short_table(code: Code, counts: np.ndarray, by_class, n_classes: int, prior: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
+    """Order 0's odds of each decision as taken, and the short contexts' entries by node. counts: by symbol, 1 at least; by_class: those of each short context."""
     n = len(code.leaf)
     node, bit = code.path >> 1, code.path & 1
     leaf = np.repeat(code.leaf, np.diff(code.first))
@@ -478,12 +518,12 @@ def short_table(code: Code, by_class: np.ndarray, prior: float = 6.0) -> tuple[n
         upto = np.r_[0, np.cumsum(c[order])]
         return upto[mid] - upto[lo], upto[hi] - upto[mid]
 
-    zero, one = sides(by_class.sum(0).astype(np.float64))
+    zero, one = sides(counts.astype(np.float64))
     p = (one + 0.4) / (zero + one + 0.8)
     odds = np.log(p / (1 - p))
-    out = np.empty((len(by_class), n - 1), np.int16)
+    out = np.empty((n_classes, n - 1), np.int16)
     for k, c in enumerate(by_class):
-        zero, one = sides(c)
+        zero, one = sides(c.astype(np.float64))
         x = np.log((one + prior * p) / (zero + prior * (1 - p)))
         out[k] = (np.rint(np.clip(x, -31, 31) * 256).astype(np.int32) << 2) | np.searchsorted([3, 30, 300], zero + one, side="right")
     return (odds[node] * (2 * bit - 1)).astype(np.float32), out
@@ -491,7 +531,8 @@ def short_table(code: Code, by_class: np.ndarray, prior: float = 6.0) -> tuple[n
 
 @dataclass
 class Speller:
-    """Bits of a new word's bytes from the one, two and three bytes before, learned from the distinct words that aren't frequent; a space ends a word."""
+    """Bits of a new word's bytes from the one, two and three bytes before, learned from the distinct words that aren't frequent; a space ends a word. counts: of each order's slots, in
+    bytes of small(), bit 0 and bit 1 in turn."""
 
     counts: list[np.ndarray]
 
@@ -520,9 +561,9 @@ class Speller:
         if not words:
             return np.zeros(0)
         bit, slots, size = self.slots(words)
-        odds, p = [], None
+        odds, p, n = [], None, unsmall()
         for table, s in zip(self.counts, slots, strict=True):
-            n0, n1 = (table[2 * s.astype(np.int64) + x].astype(np.float64) for x in (0, 1))
+            n0, n1 = (n[table[2 * s.astype(np.int64) + x]] for x in (0, 1))
             p = np.clip((n1 + 0.4) / (n0 + n1 + 0.8) if p is None else (n1 + 2 * p) / (n0 + n1 + 2), 1e-6, 1 - 1e-6)
             odds.append(np.log(p / (1 - p)) * (2.0 * bit - 1))
         # words go on side by side, a byte at a time; a long one in segments
@@ -609,9 +650,9 @@ def speller(words: DataFrame) -> Speller:
 
     # few tasks: each sends its whole tables
     few = words.coalesce(max(1, words.sparkSession.sparkContext.defaultParallelism))
-    sums = np.zeros((int(first[-1]), block), np.float32)
+    sums = np.zeros((int(first[-1]), block), np.uint8)
     for r in _summed(few.mapInArrow(count, "block int, n binary"), "block int, n binary", "block", "n").toLocalIterator():
-        sums[r.block] = unpacked(bytes(r.n))[0]
+        sums[r.block] = small(unpacked(bytes(r.n))[0])
     return Speller([x.ravel() for x in np.split(sums, first[1:-1])])
 
 
@@ -631,14 +672,14 @@ def frequent_words(counts: DataFrame, most_words: int) -> list[tuple[bytes, int]
 ASKED, TEXTS, CLASS_COUNTS, ANSWER, GATHERED = range(5)
 
 
-def _ask(rows: DataFrame, coder: Coder, sent, key: str, schema: str) -> DataFrame:
+def _ask(rows: DataFrame, sent, key: str, schema: str) -> DataFrame:
     """Chunks of rows(id, text, learn): each one's texts, its distinct pairs for each partition, and each task's learning counts by short context and symbol."""
 
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        coder = held(("coder", key), lambda: sent.value)
+        coder = held(("coder", key), lambda: sent.value.coder())
         n_symbols = len(coder.code.leaf)
         by_class = np.zeros(CLASSES * n_symbols, np.uint32)
         task, k, names = TaskContext.get().partitionId(), 0, [c.split()[0] for c in schema.split(", ")]
@@ -679,13 +720,13 @@ def _ask(rows: DataFrame, coder: Coder, sent, key: str, schema: str) -> DataFram
     return rows.mapInArrow(run, schema)
 
 
-def _answered(asked: DataFrame, coder: Coder, sent, odds, key: str, schema: str) -> DataFrame:
+def _answered(asked: DataFrame, parts: int, sent, key: str, schema: str) -> DataFrame:
     """What _ask() gave, by partition: the pairs answered for each chunk, the class counts added up, what paths() gathered, and the texts as they are."""
 
     def run(batches):
         import pyarrow as pa
 
-        code, z = held(("answers", key), lambda: (sent.value.code, odds.value))
+        code, z = held(("answers", key), lambda: (code := code_of(sent.value.lengths), short_table(code, sent.value.counts, [], 0)[0]))
         blobs, classes, names = [], {}, [c.split()[0] for c in schema.split(", ")]
         dest, id_types = 0, None
 
@@ -728,7 +769,7 @@ def _answered(asked: DataFrame, coder: Coder, sent, odds, key: str, schema: str)
             yield out(ANSWER, [chunk], [packed(many, data[place].astype(np.uint64))])
         yield out(GATHERED, [dest], [gathered.astype("<f8").tobytes()])
 
-    return asked.repartitionById(coder.parts, "dest").mapInArrow(run, schema)
+    return asked.repartitionById(parts, "dest").mapInArrow(run, schema)
 
 
 def language_scores(docs: DataFrame, *, learns: Column | None = None, id_col: str = "doc_id", text_col: str = "text", most_words: int = 1 << 18) -> DataFrame:
@@ -754,36 +795,30 @@ def language_scores(docs: DataFrame, *, learns: Column | None = None, id_col: st
     rare_tokens = total - sum(c for _, c in frequent)
     weight = np.array([texts, rare_tokens, *[c for _, c in frequent]]) + 1
     parts = max(spark.sparkContext.defaultParallelism, -(-(total + texts) // PART))
-    coder = Coder({w: FIRST_WORD + i for i, (w, _) in enumerate(frequent)}, huffman(weight), parts)
+    alphabet = Alphabet(b" ".join(w for w, _ in frequent), weight, code_lengths(weight), parts)
     spell = speller(others)
 
     key, context = uuid.uuid4().hex, spark.sparkContext
-    sent = context.broadcast(coder)
+    sent = context.broadcast(alphabet)
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"dest int, kind int, chunk long, data binary, ids array<{id_type}>, learn array<boolean>, size array<long>"
-    node_odds = context.broadcast(short_table(coder.code, weight[None, :])[0])
-    answers = kept(_answered(_ask(rows, coder, sent, key, schema), coder, sent, node_odds, key, schema), "answers")
+    answers = kept(_answered(_ask(rows, sent, key, schema), parts, sent, key, schema), "answers")
     gathered = np.zeros(ODDS * N_STATES * N_STATES)
-    by_class = np.zeros(CLASSES * len(weight), np.int64)
+    by_class = np.zeros(CLASSES * len(weight), np.uint32)
     for r in answers.where(F.col("kind").isin(GATHERED, CLASS_COUNTS)).select("kind", "chunk", "data").toLocalIterator():
         if r.kind == GATHERED:
             gathered += np.frombuffer(bytes(r.data), "<f8")
         else:
             x = unpacked(bytes(r.data))[0]
-            by_class[r.chunk << 16 : (r.chunk << 16) + len(x)] += x.astype(np.int64)
-    by_class = by_class.reshape(CLASSES, -1)
-    by_class[0] += 1  # as the code's weights have it, so that no symbol is impossible
-    odds, short = short_table(coder.code, by_class)
-    long, gate, weights = long_context(gathered)
-    token_counts = np.array([texts, 0, *[c for _, c in frequent]], np.int64)
+            by_class[r.chunk << 16 : (r.chunk << 16) + len(x)] += x.astype(np.uint32)
     known = (near + 1) / (near + once + 2)
-    model = Model(Coder({}, coder.code, parts), odds, short, token_counts, total + texts, vocabulary + (texts > 0), known, long, gate, (np.ones(GATES, np.float32), weights))
-    model_sent = context.broadcast(model)
+    model_sent = context.broadcast(Learned(alphabet, [packed(x) for x in by_class.reshape(CLASSES, -1)], *long_context(gathered), total + texts, vocabulary + (texts > 0), known))
+    del by_class
 
     def run(batches):
         import pyarrow as pa
 
-        model = held(("model", key), lambda: model_sent.value)
+        model = held(("model", key), lambda: model_sent.value.model())
 
         def scored(head, told):
             chunk_id, data, ids, learn, size = head
@@ -857,7 +892,7 @@ def language_scores(docs: DataFrame, *, learns: Column | None = None, id_col: st
             add[new] += np.log10(1 - known)
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.where(c > 0, times, 0)), pa.array(times * model_base(c)), pa.array(misses * add)], ["row", "known", "base", "score"])
 
-    floor = model.train_tokens + 0.5 * (model.kinds + 1)
+    floor = total + texts + 0.5 * (vocabulary + (texts > 0) + 1)
 
     def model_base(c):
         return np.log10((c + 0.5) / floor)
@@ -872,7 +907,7 @@ def language_scores(docs: DataFrame, *, learns: Column | None = None, id_col: st
             (~F.col("learn")).alias("held_out"),
             "n_tokens",
             (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-            F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+            F.lit(total + texts).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
             (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
             "n_bytes",

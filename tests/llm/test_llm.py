@@ -157,7 +157,7 @@ def test_language_scores(spark, odd):
 
 
 def test_huffman_is_a_prefix_code():
-    code = lmscore.huffman(np.array([5, 1, 1, 9, 3]))
+    code = lmscore.code_of(lmscore.code_lengths(np.array([5, 1, 1, 9, 3])))
     paths = [tuple(code.path[a:b]) for a, b in zip(code.first[:-1], code.first[1:], strict=True)]
     assert sum(2.0 ** -len(p) for p in paths) == 1 and len(set(paths)) == 5
 
