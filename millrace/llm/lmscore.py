@@ -41,7 +41,7 @@ CHUNK, PART = 500_000, 2_000_000
 FIRST_STEP, STEP = 16, 64
 RATE = 0.02
 #: Symbols of texts that are scored side by side: few enough for a core's cache.
-GROUP = 20_000
+GROUP = 60_000
 #: Steps of a count that share a state: 0, 1, 2, 3, then from each bound on.
 STATES = np.searchsorted([1, 2, 3, 4, 6, 9, 15, 31, 100], np.arange(101), side="right")
 N_STATES = 10
@@ -62,13 +62,14 @@ def words_of(text: str | None) -> list[bytes]:
 @dataclass
 class Code:
     """Huffman code of the symbols: path[first[s]:first[s + 1]] holds, for each decision of s, 2 * node + bit; leaf[s] is s's place from left to right; bits and length are
-    by place: the code from the top bit down."""
+    by place: the code from the top bit down; first_at too is by place."""
 
     first: np.ndarray
     path: np.ndarray
     leaf: np.ndarray
     bits: np.ndarray
     length: np.ndarray
+    first_at: np.ndarray
 
 
 def code_lengths(weights: np.ndarray) -> np.ndarray:
@@ -104,7 +105,7 @@ def code_of(lengths: np.ndarray) -> Code:
         node = np.cumsum(np.r_[0, above[1:] != above[:-1]]) + nodes
         nodes = int(node[-1]) + 1
         path[first[order[here:]] + k] = 2 * node + (bits[here:] >> np.uint64(63 - k) & np.uint64(1)).astype(np.int64)
-    return Code(first, path, leaf, bits, of)
+    return Code(first, path, leaf, bits, of, first[order])
 
 
 def step_bounds(place: np.ndarray) -> np.ndarray:
@@ -308,15 +309,14 @@ def paths(keys: np.ndarray, counts: np.ndarray, code: Code, odds: np.ndarray) ->
     if len(again):
         leaf = low[a[again]]
         steps = code.length[leaf]
-        sym_first = code.first[np.argsort(code.leaf)[leaf]]
-        place = np.arange(int(steps.sum())) + np.repeat(sym_first - np.r_[0, np.cumsum(steps)[:-1]], steps)
+        place = np.arange(int(steps.sum())) + np.repeat(code.first_at[leaf] - np.r_[0, np.cumsum(steps)[:-1]], steps)
         own = np.repeat(n[again], steps)
         gather(odds[place], own - 1, np.zeros_like(own), own)
     many = np.flatnonzero(~alone & (total > 0))
     if len(many):
         leaf, mine, of = low[a[many]], n[many], context[a[many]]
         bits, steps = code.bits[leaf], code.length[leaf]
-        symbol_first = code.first[np.argsort(code.leaf)[leaf]]
+        symbol_first = code.first_at[leaf]
         apart = bits[1:] ^ bits[:-1]
         shared = np.r_[-1, np.where(of[1:] != of[:-1], -1, 63 - np.floor(np.log2(np.maximum(apart, np.uint64(1)).astype(np.float64))).astype(np.int64))]
         upto = np.r_[0, np.cumsum(mine)]
@@ -757,8 +757,14 @@ def _answered(asked: DataFrame, parts: int, sent, key: str, schema: str) -> Data
         del blobs
         kinds, where = np.unique(np.concatenate(keys).astype(np.uint64), return_inverse=True)
         counts = np.bincount(where, np.concatenate(times), len(kinds)).astype(np.int64)
+        where = where.astype(np.int32)
         del keys, times
-        size, data, gathered = paths(kinds, counts, code, z)
+        # whole contexts together, some at a time
+        fresh = np.flatnonzero(np.r_[True, kinds[1:] >> np.uint64(LOW) != kinds[:-1] >> np.uint64(LOW)])
+        cuts = np.unique(np.r_[fresh[np.searchsorted(fresh, np.arange(0, len(kinds), 200_000), side="right") - 1], len(kinds)])
+        found = [paths(kinds[lo:hi], counts[lo:hi], code, z) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        size, data, gathered = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), sum(f[2] for f in found)
+        del found, kinds, counts
         first = np.r_[0, np.cumsum(size)]
         at = 0
         for chunk, n in zip(of, sizes, strict=True):
