@@ -80,10 +80,9 @@ class EliasFano:
         return (x & -x).bit_length() - 1
 
     def _value(self, i: int, place: int) -> int:
-        low, first = 0, i * self.low_bits
-        for b in range(self.low_bits):
-            low |= (int(self.low[(first + b) // 8]) >> (first + b) % 8 & 1) << b
-        return (place - i) << self.low_bits | low
+        first = i * self.low_bits
+        bits = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8].tobytes(), "little")
+        return (place - i) << self.low_bits | bits >> first % 8 & (1 << self.low_bits) - 1
 
     def decode(self) -> np.ndarray:
         """All values."""
@@ -180,7 +179,7 @@ def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", tex
 def read_token_files(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> DataFrame:
     """One row for each document in the files: id_col, start (ids of all documents before it), n_tokens, ids_crc32 (of its ids as little-endian 32-bit integers).
 
-    Only a table of one row a part file is summed in order and broadcast: it is bounded by the number of output partitions.
+    Each document's offset comes from select(). Only a table of one row a part file is summed in order and broadcast: it is bounded by the number of output partitions.
     """
     schema = "part int, segment int, tokens_before long, n_docs long, n_tokens long, payload binary"
     files = spark.read.schema(schema).parquet(path)
@@ -191,9 +190,9 @@ def read_token_files(spark: SparkSession, path: str, *, id_col: str = "doc_id")
         for b in batches:
             for part, before, payload in zip(b.column("part"), b.column("tokens_before"), b.column("payload"), strict=True):
                 s = Segment(payload.as_buffer())
-                ends = s.ends.decode()
-                starts = np.concatenate([[0], ends[:-1]])
-                crc = [zlib.crc32(s.tokens[x:y].astype("<u4").tobytes()) for x, y in zip(starts, ends, strict=True)]
+                ends = np.array([s.ends.select(i) for i in range(s.n_docs)], np.int64)
+                starts = np.r_[0, ends[:-1]]
+                crc = [zlib.crc32(s.tokens[x:y].astype("<u4").tobytes()) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part.as_py()] * s.n_docs, pa.int32()), pa.array(s.keys, pa.int64()), pa.array(starts + before.as_py(), pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())],
                     ["part", "id", "start", "n_tokens", "ids_crc32"],

@@ -266,7 +266,10 @@ def _index(items: DataFrame, threshold: float):
 
 def _block_matches(docs: DataFrame, items: DataFrame, threshold: float, overlap: float) -> DataFrame:
     """Matches of all docs(id, text) with one block of items(item, text), small enough for each worker to hold."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     sent, key = _index(items, threshold)
+    item_type = to_arrow_type(items.schema["item"].dataType)
 
     def search(batches):
         import pyarrow as pa
@@ -277,7 +280,7 @@ def _block_matches(docs: DataFrame, items: DataFrame, threshold: float, overlap:
             if rows:
                 item, score, question, answer = zip(*rows, strict=True)
                 at = np.repeat(np.arange(len(found)), [len(got) for got in found])
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(item), pa.array(score, pa.float64()), pa.array(question, pa.float64()), pa.array(answer, pa.float64())], ["id", "item", "score", "question_overlap", "answer_overlap"])
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(item, item_type), pa.array(score, pa.float64()), pa.array(question, pa.float64()), pa.array(answer, pa.float64())], ["id", "item", "score", "question_overlap", "answer_overlap"])
 
     return docs.mapInArrow(search, f"id {docs.schema['id'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}, score double, question_overlap double, answer_overlap double")
 

@@ -36,12 +36,12 @@ CLASSES = 32
 #: A (context, symbol) pair is 32 bits of the context's hash and LOW bits: the symbol's place among the code's leaves, or RARE_BIT and hash bits of another word.
 LOW, RARE_BIT = 24, 1 << 23
 #: Tokens of a chunk, and of a partition of contexts.
-CHUNK, PART = 500_000, 2_000_000
+CHUNK, PART = 400_000, 1_500_000
 #: Symbols of a text before the weights are first refined, and between refinements.
 FIRST_STEP, STEP = 16, 64
 RATE = 0.02
 #: Symbols of texts that are scored side by side: few enough for a core's cache.
-GROUP = 60_000
+GROUP = 40_000
 #: Steps of a count that share a state: 0, 1, 2, 3, then from each bound on.
 STATES = np.searchsorted([1, 2, 3, 4, 6, 9, 15, 31, 100], np.arange(101), side="right")
 N_STATES = 10
@@ -628,10 +628,9 @@ def _summed(rows: DataFrame, schema: str, key: str, value: str) -> DataFrame:
     return rows.repartition(n, key).mapInArrow(add, schema)
 
 
-def speller(words: DataFrame) -> Speller:
-    """Learned from the distinct words of words(word), one row each."""
-    sizes = [1 << 16, 1 << SPELL_BITS, 1 << SPELL_BITS]
-    block = 1 << 15
+def speller(words: DataFrame, kinds: int) -> Speller:
+    """Learned from the distinct words of words(word), one row each, kinds in all or fewer."""
+    sizes, block = [1 << 16, 1 << SPELL_BITS, 1 << SPELL_BITS], 1 << 15
     first = np.r_[0, np.cumsum([2 * n // block for n in sizes])]
 
     def count(batches):
@@ -648,8 +647,8 @@ def speller(words: DataFrame) -> Speller:
             if some:
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), pa.array([packed(x) for _, x in some], pa.binary())], ["block", "n"])
 
-    # few tasks: each sends its whole tables
-    few = words.coalesce(max(1, words.sparkSession.sparkContext.defaultParallelism))
+    # each task sends its whole tables, so they are few, but none reads more than about a million words
+    few = words.coalesce(max(words.sparkSession.sparkContext.defaultParallelism, kinds >> 20))
     sums = np.zeros((int(first[-1]), block), np.uint8)
     for r in _summed(few.mapInArrow(count, "block int, n binary"), "block int, n binary", "block", "n").toLocalIterator():
         sums[r.block] = small(unpacked(bytes(r.n))[0])
@@ -802,7 +801,7 @@ def language_scores(docs: DataFrame, *, learns: Column | None = None, id_col: st
     weight = np.array([texts, rare_tokens, *[c for _, c in frequent]]) + 1
     parts = max(spark.sparkContext.defaultParallelism, -(-(total + texts) // PART))
     alphabet = Alphabet(b" ".join(w for w, _ in frequent), weight, code_lengths(weight), parts)
-    spell = speller(others)
+    spell = speller(others, vocabulary)
 
     key, context = uuid.uuid4().hex, spark.sparkContext
     sent = context.broadcast(alphabet)

@@ -47,6 +47,10 @@ def byte_letters() -> str:
     return "".join(chr(b if b in own else next(others)) for b in range(256))
 
 
+#: Characters of the longest key that a cache keeps: what is longer is hardly met again, and would let a cache of a bounded number of keys grow without bound.
+KEPT_KEY = 64
+
+
 class _Cache(dict):
     """Key to value in two generations: at its bound the present one becomes the old one, from which what is met again is taken over."""
 
@@ -55,6 +59,8 @@ class _Cache(dict):
         self.most, self.old = most, {}
 
     def put(self, key: str, value):
+        if len(key) > KEPT_KEY:
+            return value
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -117,7 +123,7 @@ class _Units(_Cache):
 class Encoder:
     """Counts and encodes texts in one worker. table: lengths of frequent pre-tokens (tier one)."""
 
-    def __init__(self, vocabulary: str, table: dict[str, int] | None = None, most: int = 500_000):
+    def __init__(self, vocabulary: str, table: dict[str, int] | None = None, most: int = 250_000):
         import numpy as np
 
         self.tokenizer = load(vocabulary)

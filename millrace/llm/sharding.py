@@ -11,7 +11,7 @@ is found the same way from buckets of the fractional rank.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import byte_size, group_key, text_crc32
@@ -57,7 +57,14 @@ def interleaved_shards(docs: DataFrame, *, shards: int = 8, seed: int = 17, id_c
 
 
 def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", **options) -> None:
-    """Writes docs to path/shard=k, sorted by slot. id_col must be unique here: it joins rows to their places."""
-    placed = interleaved_shards(docs, id_col=id_col, **options).select(F.col(id_col).alias("_id"), "shard", "slot")
-    whole = docs.join(placed, docs[id_col].eqNullSafe(placed["_id"])).drop("_id")
+    """Writes docs to path/shard=k, each row as a struct `row` beside its slot, sorted by slot, so that its columns may have any names. id_col must be unique here: it joins
+    rows to their places. An empty table writes no shard; read_shards() gives docs' columns back."""
+    placed = interleaved_shards(docs, id_col=id_col, **options).select(F.col(f"`{id_col}`").alias("id"), "shard", "slot")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = rows.join(placed, rows["row"][id_col].eqNullSafe(placed["id"])).select("row", "shard", "slot")
     whole.repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, shard: int) -> DataFrame:
+    """The rows of one shard as they were given, in the order of their slots."""
+    return spark.read.parquet(f"{path}/shard={shard}").orderBy("slot").select("row.*")

@@ -81,13 +81,27 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, bits: int, factors: int = 4, epochs: int = 10, batch: int = 128, rate: float = 0.1, penalty: float = 2e-2, least_docs: int = 12, seed: int = 17) -> FactorizationMachine:
-    """Fits by AdaGrad on the logistic loss. Only terms in least_docs texts or more get weights; without both labels the score is the labels' rate."""
+def telling_terms(texts: list[np.ndarray], labels: np.ndarray, bits: int, errors: float) -> np.ndarray:
+    """Terms that labels differ by: those found in toxic texts more or less often than chance would have it by so many standard errors, among all texts, or (a group's name beside an insult, say)
+    among the texts that hold one of the former."""
+
+    def differ(some: np.ndarray) -> np.ndarray:
+        all_of, toxic = np.zeros(1 << bits), np.zeros(1 << bits)
+        for i in some.tolist():
+            all_of[texts[i]] += 1
+            toxic[texts[i]] += labels[i]
+        p = labels[some].mean() if len(some) else 0.0
+        return np.flatnonzero(np.abs(toxic - p * all_of) > errors * np.sqrt(np.maximum(p * (1 - p), 1e-9) * all_of)) if 0 < p < 1 else np.zeros(0, np.int64)
+
+    first = differ(np.arange(len(texts)))
+    holds = np.flatnonzero([bool(np.isin(t, first).any()) for t in texts]) if len(first) else np.zeros(0, np.int64)
+    return np.union1d(first, differ(holds))
+
+
+def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, bits: int, factors: int = 4, epochs: int = 10, batch: int = 128, rate: float = 0.1, penalty: float = 2e-2, errors: float = 5.0, seed: int = 17) -> FactorizationMachine:
+    """Fits by AdaGrad on the logistic loss the weights of telling_terms(); without both labels, or without such terms, the score is the labels' rate."""
     rng = np.random.default_rng(seed)
-    docs = np.zeros(1 << bits, np.int32)
-    for k, _ in features:
-        docs[k] += 1
-    kinds = np.flatnonzero(docs >= least_docs)
+    kinds = telling_terms([k for k, _ in features], labels, bits, errors)
     p = (float(labels.sum()) + 0.5) / (len(labels) + 1)
     m = FactorizationMachine(bits, kinds, float(np.log(p / (1 - p))), np.zeros(len(kinds)), rng.normal(0, 0.05, (len(kinds), factors)))
     if not len(kinds) or labels.min() == labels.max():
@@ -111,7 +125,9 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, bi
             dw = np.bincount(inverse, e, len(touched)) + penalty / len(order) * batch * m.w[touched]
             sums = np.zeros((len(mine), factors))
             vx = m.v[places] * x[:, None]
-            np.add.at(sums, rows, vx)
+            if len(rows):
+                starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+                sums[rows[starts]] = np.add.reduceat(vx, starts)
             each = e[:, None] * (sums[rows] - vx)
             dv = np.stack([np.bincount(inverse, each[:, f], len(touched)) for f in range(factors)], 1) + penalty / len(order) * batch * m.v[touched]
             db = error.sum()
@@ -128,7 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, i
     """Fits on the labelled rows for which usable (an expression on id_col, default: all) holds: all of them, or most_rows chosen by a hash of the id.
 
     Rows with a null id or label are left out; an id with several labels counts as toxic if one says so. The chosen ids, at most
-    most_rows, are broadcast to the texts, so no text is shuffled. Only hashed terms and their values come to the driver.
+    most_rows, are broadcast to the texts, so no text is shuffled. Only hashed terms and their values come to the driver: those of most_rows rows at most (if ids have several
+    rows, the first in the order of id, label and terms), each of 2^bits terms at most.
     """
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     if usable is not None:
@@ -144,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, i
             found = [counted_terms(terms, t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("y"), pa.array([k.astype("<i4").tobytes() for k, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())], ["id", "y", "kinds", "x"])
 
-    rows = sorted(texts.mapInArrow(features, "id string, y int, kinds binary, x binary").collect(), key=lambda r: (r.id, r.y, r.kinds))
+    rows = texts.mapInArrow(features, "id string, y int, kinds binary, x binary").orderBy("id", "y", "kinds").limit(most_rows).collect()
     got = [(np.frombuffer(r.kinds, "<i4"), np.frombuffer(r.x, "<f4")) for r in rows]
     return fit(got, np.array([r.y for r in rows], float), bits=bits, seed=seed, **options)
 
@@ -157,27 +174,48 @@ def _small(batches, rows: int = 256):
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """Every column of docs that id_col names (one name or a list), score (0 to 1) and predicted (1 if score >= threshold).
+    """id_col, score (0 to 1) and predicted (1 if score >= threshold) of each row of docs, whose other columns may have any names.
 
     A text of any length is scored whole; a null or empty one gets the model's bias. Repeated rows give repeated rows; an empty table gives none.
     """
-    keep = [id_col] if isinstance(id_col, str) else list(id_col)
-    sent, key = docs.sparkSession.sparkContext.broadcast(machine), uuid.uuid4().hex
-    # columns go by place, so that none of docs clashes with what is added
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], *([] if text_col in keep else [F.col(text_col).alias("t")]))
-    text = f"c{keep.index(text_col)}" if text_col in keep else "t"
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    judge = _judge(rows, machine)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in _small(batches):
+            s = judge(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["id", "score", "predicted"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def without_toxic(docs: DataFrame, machine: FactorizationMachine, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that score below threshold, as they are: columns go by place, so they may have any names."""
+    names, rows = docs.columns, docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text, judge = f"c{docs.columns.index(text_col)}", _judge(docs, machine)
 
     def run(batches):
         import pyarrow as pa
 
-        model, places, terms = held(("toxicity", key), lambda: (sent.value, sent.value.places(), _Terms(sent.value.bits)))
         for b in _small(batches):
-            found = [counted_terms(terms, t) for t in b.column(text).to_pylist()]
-            n = [len(k) for k, _ in found]
-            rows, at = np.repeat(np.arange(len(n)), n), places[np.concatenate([k for k, _ in found])] if n else np.zeros(0, int)
-            s = model.scores(rows[at >= 0], at[at >= 0], np.concatenate([x for _, x in found])[at >= 0], len(n)) if n else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*[b.column(f"c{i}") for i in range(len(keep))], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*[f"c{i}" for i in range(len(keep))], "score", "predicted"])
-
-    kinds = ", ".join(f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(keep)))
-    scored = rows.mapInArrow(run, f"{kinds}, score double, predicted int")
-    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score", "predicted")
+            yield b.filter(pa.array(judge(b.column(text)) < threshold, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*names)
+
+
+def _judge(docs: DataFrame, machine: FactorizationMachine):
+    """A function for the workers: scores of a column of texts."""
+    sent, key = docs.sparkSession.sparkContext.broadcast(machine), uuid.uuid4().hex
+
+    def judge(texts) -> np.ndarray:
+        model, places, terms = held(("toxicity", key), lambda: (sent.value, sent.value.places(), _Terms(sent.value.bits)))
+        found = [counted_terms(terms, t) for t in texts.to_pylist()]
+        if not found:
+            return np.zeros(0)
+        n = [len(k) for k, _ in found]
+        rows, at = np.repeat(np.arange(len(n)), n), places[np.concatenate([k for k, _ in found])]
+        return model.scores(rows[at >= 0], at[at >= 0], np.concatenate([x for _, x in found])[at >= 0], len(n))
+
+    return judge

@@ -53,7 +53,8 @@ def temporal_url_filter(captures: DataFrame, entries: DataFrame, *, id_col: str
     aren't blocked. A null URL or one without a host has host "" and is never blocked; a null fetch time matches nothing. Repeated captures give repeated rows. An empty
     list blocks nothing; an empty table gives no rows.
     The key of a hot host, or a top-level domain, holds many captures: the list is repeated salts times and captures are dealt by a hash, so no key meets in one task.
-    Of captures that share address and time only one is joined.
+    Of captures that share address and time only one is matched; what it matched goes back to all of them under salts times as many keys, and captures without a host or
+    a time, which match nothing, aren't joined at all.
     """
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(fetched_col).cast("timestamp").alias("fetched_at"))
     rows = rows.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
@@ -63,6 +64,12 @@ def temporal_url_filter(captures: DataFrame, entries: DataFrame, *, id_col: str
     active = keys.join(intervals, ["key", "salt"]).where((F.col("fetched_at") >= F.col("valid_from")) & (F.col("fetched_at") < F.col("valid_to")))
     best = active.groupBy("host", "path", "fetched_at").agg(F.max(F.struct(F.length("key").alias("n"), "key", "valid_from")).alias("m"))
     hits = best.select("host", "path", "fetched_at", F.col("m.key").alias("matched_entry"), F.col("m.valid_from").alias("listed_since"))
-    return rows.join(hits, ["host", "path", "fetched_at"], "left").select(
+    # the way back: a capture's copies are dealt over the salts
+    back = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    can = (F.col("host") != "") & F.col("fetched_at").isNotNull()
+    rows = rows.withColumn("salt", F.when(can, F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int")))
+    none = rows.where("salt IS NULL").select("id", "url", "fetched_at", "host", F.lit(None).cast("string").alias("matched_entry"), F.lit(None).cast("timestamp").alias("listed_since"))
+    judged = rows.where("salt IS NOT NULL").join(back, ["host", "path", "fetched_at", "salt"], "left").select("id", "url", "fetched_at", "host", "matched_entry", "listed_since")
+    return judged.unionAll(none).select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), F.col("fetched_at").alias(fetched_col), "host", "matched_entry", "listed_since", F.col("matched_entry").isNotNull().alias("blocked")
     )

@@ -116,6 +116,32 @@ def test_thresholds_cover_the_distance():
         assert sum(x + 1 for x in t) == 4
 
 
+def test_unequal_thresholds_win_where_a_partition_is_crowded():
+    crowded = simhash.candidate_estimates(10**6, [1e12, 1e8, 1e8, 2e8], [16] * 4, 3)
+    t = simhash.allocate(crowded, 3)
+    assert t[0] == -1 and sorted(t) == [-1, 0, 0, 1]
+    from itertools import product
+
+    cost = lambda ts: sum(c[x] for c, x in zip(crowded, ts, strict=True) if x >= 0)
+    assert cost(t) == min(cost(ts) for ts in product(range(-1, 4), repeat=4) if sum(x + 1 for x in ts) == 4)
+
+
+def test_crowded_bits_are_linked_all_the_same(spark):
+    rng = np.random.default_rng(4)
+    fps = []
+    for i in range(400):  # the low 16 bits are the same in all
+        fp = (int(rng.integers(0, 1 << 24)) << 24) if i % 2 == 0 else fps[-1] ^ (1 << int(rng.integers(16, 64))) ^ (1 << int(rng.integers(16, 64)))
+        fps.append(fp)
+    fps = sorted(set(fps))
+    signed = [(simhash._signed(x), x) for x in fps]
+    edges = simhash.links(spark.createDataFrame([(s, i) for i, (s, _) in enumerate(signed)], "fp long, v long"), block=16)
+    stars = {r.u: r.v for r in simhash.components(edges).collect()}
+    root = list(range(len(fps)))
+    while (new := [min(root[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 3) for i in range(len(fps))]) != root:
+        root = new
+    assert [stars.get(i, i) for i in range(len(fps))] == root
+
+
 def test_decontamination(spark, odd):
     item = "the quick brown fox jumps over the lazy dog tonight. what does the animal leap over again"
     bench = spark.createDataFrame([(7, item), (8, "another item that nobody has ever copied anywhere at all"), (9, None), (10, "")], "item_id long, text string")
