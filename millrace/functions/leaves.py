@@ -36,9 +36,15 @@ def int_leaf(raw: Column) -> Column:
 
 
 def float_leaf(raw: Column) -> Column:
-    """A finite double, as a number or a string."""
+    """A finite double, as a number or a string; in a string also with hexadecimal digits and a binary exponent."""
     t = number_text(raw)
-    d = F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t).try_cast("double")
+    hexadecimal = r"^([+-]?)0[xX]([0-9a-fA-F]*)\.?([0-9a-fA-F]*)[pP]([+-]?[0-9]{1,4})$"
+    whole, part = F.regexp_extract(text_leaf(raw), hexadecimal, 2), F.regexp_extract(text_leaf(raw), hexadecimal, 3)
+    digits = F.concat(whole, part)
+    power = F.regexp_extract(text_leaf(raw), hexadecimal, 4).try_cast("int") - 4 * F.length(part)
+    binary = F.conv(digits, 16, 10).try_cast("double") * F.pow(F.lit(2.0), power) * F.when(F.regexp_extract(text_leaf(raw), hexadecimal, 1) == "-", -1).otherwise(1)
+    of_hex = F.when(text_leaf(raw).rlike(hexadecimal) & F.length(digits).between(1, 15), binary)
+    d = F.coalesce(of_hex, F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t).try_cast("double"))
     return F.when(F.abs(d) <= 1.7976931348623157e308, d)
 
 
@@ -82,7 +88,9 @@ def event_name(body: Column, attribute: Column, namespace: str = "claude_code")
 def rfc3339_nanos(ns: Column) -> Column:
     """UTC time with the nanoseconds' trailing zeros cut; empty for null."""
     fraction = F.rtrim(F.lpad(F.pmod(ns, F.lit(1_000_000_000)).cast("string"), 9, "0"), F.lit("0"))
-    whole = F.date_format(F.to_utc_timestamp(F.timestamp_seconds(F.floor(ns / 1_000_000_000)), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+    # whole seconds by exact subtraction first: a quotient of doubles may round a late nanosecond up
+    seconds = F.round(F.try_subtract(ns, F.pmod(ns, F.lit(1_000_000_000))) / 1_000_000_000).cast("bigint")
+    whole = F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
     return F.coalesce(F.concat(whole, F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)), F.lit("Z")), F.lit(""))
 
 

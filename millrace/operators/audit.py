@@ -102,13 +102,49 @@ def report(docs: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("skill", (F.col("failed") == 0).alias("passed"), "findings", "structure", "paths", "unverified", F.when(F.col("structure") > 0, 2).when(F.col("paths") > 0, 1).otherwise(0).alias("exit_status"))
 
 
-#: Sections that a rewrite adds where they are missing, by heading pattern.
-DRAFT_SECTIONS = (("When to use", "When to use[ \\t]*$"), ("Examples", "Examples?[ \\t]*$"), ("Validation", "Validation"))
+def payloads(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """skill, passed, payload: the findings of each skill of docs as one JSON document {"findings": [{level, rule, message}], "passed": ...}, ordered by rule and message."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rule", "message", "level"))), lambda x: F.struct(x["level"].alias("level"), x["rule"].alias("rule"), x["message"].alias("message")))
+    by_skill = found.groupBy("skill").agg(listed.alias("findings"), (F.count_if(F.col("level") == "fail") == 0).alias("passed"))
+    none = F.from_json(F.lit("[]"), "array<struct<level:string,rule:string,message:string>>")
+    rows = docs.select("skill").distinct().join(by_skill, "skill", "left").select("skill", F.coalesce("findings", none).alias("findings"), F.coalesce("passed", F.lit(True)).alias("passed"))
+    return rows.select("skill", "passed", F.to_json(F.struct("findings", "passed")).alias("payload"))
+
+
+def child_findings(children: DataFrame) -> DataFrame:
+    """Findings about children(skill, child, status, payload), checks that ran on their own: DEP001 where one gave no payload that can be read, DEP002 where its payload and its status say
+    different things (0 passes, others don't)."""
+    parsed = children.withColumn("passed", F.try_variant_get(F.try_parse_json("payload"), "$.passed", "boolean"))
+    rule = F.when(F.col("passed").isNull(), "DEP001").when(F.col("passed") != (F.col("status") == 0), "DEP002")
+    message = F.when(F.col("passed").isNull(), F.concat(F.lit("no verdict from "), "child")).otherwise(F.concat(F.lit("verdict and status differ: "), "child"))
+    return parsed.select("skill", F.lit("fail").alias("level"), rule.alias("rule"), message.alias("message")).where("rule IS NOT NULL")
+
+
+def unified(docs: DataFrame, files: DataFrame, children: DataFrame | None = None) -> DataFrame:
+    """skill, structure, paths, spec, dependencies (findings of each part), passed over all of them, exit_status: 3 where a child has no verdict or contradicts itself, 2 with a structure or spec
+    finding, 1 with a missing path, else 0."""
+    parts = sections(docs)
+    found = findings(docs, files).unionByName(spec_findings(parts))
+    found = found if children is None else found.unionByName(child_findings(children))
+    n = {name: F.count_if(F.col("rule").startswith(start) & (F.col("level") == "fail")).alias(name) for name, start in (("structure", "PL"), ("paths", "PT"), ("spec", "SPEC"), ("dependencies", "DEP"))}
+    counted = found.groupBy("skill").agg(*n.values())
+    rows = docs.select("skill").distinct().join(counted, "skill", "left").select("skill", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in n])
+    status = F.when(F.col("dependencies") > 0, 3).when(F.col("structure") + F.col("spec") > 0, 2).when(F.col("paths") > 0, 1).otherwise(0)
+    return rows.select("*", (status == 0).alias("passed"), status.alias("exit_status"))
+
+
+#: Sections that a rewrite adds where they are missing: heading pattern, then what the draft says there.
+DRAFT_SECTIONS = (
+    ("When to use", "When to use[ \\t]*$", "- Situations that call for this skill, one on a line.\n- Situations that look alike and don't."),
+    ("Examples", "Examples?[ \\t]*$", "1. What is asked for.\n2. What is done.\n3. What comes out."),
+    ("Validation", "Validation", "- How a reader sees that it worked.\n- What to do if it didn't."),
+)
 
 
 def rewrite_draft(docs: DataFrame) -> DataFrame:
     """skill, the missing sections, and the document with a template for each of them appended."""
     parts = sections(docs)
-    missing = F.array_compact(F.array(*[F.when(~has_heading(F.col("body"), p), F.lit(n)) for n, p in DRAFT_SECTIONS]))
-    draft = F.concat(F.col("text"), F.array_join(F.transform("missing", lambda n: F.concat(F.lit("\n\n## "), n, F.lit("\n\nTODO"))), ""))
-    return parts.withColumn("missing", missing).join(docs.select("skill", "text"), "skill").select("skill", "missing", draft.alias("draft"))
+    missing = F.array_compact(F.array(*[F.when(~has_heading(F.col("body"), p), F.struct(F.lit(n).alias("name"), F.lit(t).alias("template"))) for n, p, t in DRAFT_SECTIONS]))
+    added = F.array_join(F.transform("found", lambda x: F.concat(F.lit("\n\n## "), x["name"], F.lit("\n\n"), x["template"])), "")
+    rows = parts.withColumn("found", missing).join(docs.select("skill", "text"), "skill")
+    return rows.select("skill", F.transform("found", lambda x: x["name"]).alias("missing"), F.concat(F.col("text"), added, F.when(F.size("found") > 0, F.lit("\n")).otherwise(F.lit(""))).alias("draft"))

@@ -12,6 +12,59 @@ from pyspark.sql import functions as F
 from millrace.functions.leaves import round2, success_rate
 
 TOKENS = ("input", "output", "cache_read", "cache_creation")
+#: refusal() states its reasons in the wording that readers of reports match.
+
+
+#: A saved profile, as profile.capture() gives it, and its long form's values.
+PROFILE = ", ".join(
+    [
+        "schema string, harness string, snapshot_hash string, skill_dir string, capability struct<adapter_version:string>",
+        *[f"{m} struct<state:string,reason:string,source:string,value:{v}>" for m, v in (("tokens", "struct<input:bigint,output:bigint,cache_read:bigint,cache_creation:bigint>"), ("tool_calls", "array<struct<name:string,timestamp:string,success:boolean,count:bigint>>"), ("skill_activation", "array<struct<skill_name:string,timestamp:string,trigger:string>>"), ("timing", "struct<start_time:string,end_time:string,total_ms:bigint>"), ("attribution", "struct<count:bigint>"), ("estimated_context_tokens", "struct<total:bigint>"))],
+    ]
+)
+METRICS = ("tokens", "tool_calls", "skill_activation", "timing", "attribution", "estimated_context_tokens")
+
+
+def call_count(calls: Column, which=lambda x: F.lit(True)) -> Column:
+    """Calls in a list: an entry stands for its count, one that says none or 0 for one."""
+    return F.aggregate(F.filter(calls, which), F.lit(0).cast("bigint"), lambda n, x: n + F.coalesce(F.nullif(x["count"], F.lit(0).cast("bigint")), F.lit(1).cast("bigint")))
+
+
+def has_value(metric: str) -> Column:
+    """Whether a result carries a value; an empty list is none."""
+    value = F.col(f"{metric}.value")
+    return F.coalesce(F.size(value) > 0, F.lit(False)) if metric in ("tool_calls", "skill_activation") else value.isNotNull()
+
+
+def profile_refusal(profiles: DataFrame, schema: str = "profile/v1") -> DataFrame:
+    """profile_path, reason of the profiles that can't be compared: another schema, or a signal that is present without a value (the first by name)."""
+    bare = [F.when(F.coalesce(F.col(f"{m}.state"), F.lit("")) == "present", F.when(~has_value(m), F.lit(f"{m}: present without a value"))) for m in sorted(METRICS)]
+    other = F.when(~F.col("schema").eqNullSafe(F.lit(schema)), F.concat(F.lit("schema: "), quoted(F.col("schema")), F.lit(f" is not {schema}")))
+    return profiles.select("profile_path", F.coalesce(other, *bare).alias("reason")).where("reason IS NOT NULL")
+
+
+def long_form(profiles: DataFrame) -> DataFrame:
+    """One row for each profile (profile_path and the columns of PROFILE) and metric, as paired() takes them. A signal without a source comes from none."""
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(f"{m}.state"), F.lit("unknown")).alias("state"), F.coalesce(F.nullif(F.col(f"{m}.source"), F.lit("")), F.lit("none")).alias("source"), has_value(m).alias("has_value")) for m in METRICS])
+    values = {f"{t}": F.col(f"tokens.value.{t}") for t in TOKENS} | {
+        "calls": call_count(F.col("tool_calls.value")),
+        "successes": call_count(F.col("tool_calls.value"), lambda x: F.coalesce(x["success"], F.lit(False))),
+        "skills": F.transform("skill_activation.value", lambda x: x["skill_name"]),
+        "total_ms": F.col("timing.value.total_ms"),
+        "count": F.col("attribution.value.count"),
+        "total": F.col("estimated_context_tokens.value.total"),
+    }
+    whole = profiles.select("profile_path", F.col("capability.adapter_version").alias("adapter_version"), rows.alias("rows"), *[v.alias(k) for k, v in values.items()])
+    return whole.select("profile_path", "adapter_version", F.explode("rows").alias("r"), *values).select("profile_path", "adapter_version", "r.*", *values)
+
+
+def read_profiles(spark, paths) -> DataFrame:
+    """Saved profiles in long form. The first that profile_refusal() names is an error, with its path."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    rows = spark.read.schema(PROFILE).option("mode", "FAILFAST").json(paths, multiLine=True).withColumn("profile_path", F.regexp_replace(F.input_file_name(), "^file:(//)?", ""))
+    if bad := profile_refusal(rows).orderBy("profile_path").first():
+        raise ValueError(f"{bad.profile_path}: {bad.reason}")
+    return long_form(rows)
 
 
 def quoted(c: Column) -> Column:

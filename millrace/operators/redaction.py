@@ -86,14 +86,17 @@ def strip(value):
 
 
 def kept_payload(text: str | None, strict: bool) -> str | None:
-    """The payload as it is kept: redacted, then stripped if strict. What isn't exactly one JSON value is kept as a JSON string, as it came."""
+    """The payload as it is kept: redacted, then stripped if strict. What isn't exactly one JSON value is kept as a JSON string, as it came; of one nested deeper than
+    Python's parser goes (about a thousand levels) only its size is kept, since its secrets can't be found."""
     if text is None:
         return None
     try:
         value = redact(one_value(text))
+        return dump(strip(value) if strict else value)
     except ValueError:
         return json.dumps(text, ensure_ascii=False)
-    return dump(strip(value) if strict else value)
+    except RecursionError:
+        return json.dumps({"_stripped_bytes": len(text.encode())})
 
 
 @F.pandas_udf(StringType())
@@ -110,6 +113,8 @@ def is_one_value(payload: pd.Series) -> pd.Series:
             one_value(text)
         except (ValueError, AttributeError):
             return False
+        except RecursionError:  # a value, though too deep to be taken apart
+            return True
         return True
 
     return payload.map(check).astype(bool)

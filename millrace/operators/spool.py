@@ -5,7 +5,7 @@ ts is an RFC 3339 text; days and hours are those of UTC. A payload's keys are lo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.redaction import censusable
@@ -125,3 +125,15 @@ def session_events(spool: DataFrame, session: str) -> DataFrame:
         raise ValueError("a session id is required")
     hit = lambda c: F.coalesce(c == session, F.lit(False))
     return spool.where(hit(F.col("conversation_id")) | hit(field("session_id")) | hit(field("generation_id")))
+
+
+def ordered_session_events(spool: DataFrame, session: str, tie: tuple[str, ...] = ("file", "line_no")) -> DataFrame:
+    """session_events() with their place, from 1, in the order of ts as text; ties by file and line."""
+    rows = session_events(spool, session)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("ts").asc_nulls_first(), *tie))).orderBy("place")
+
+
+def ranked(report: DataFrame, *order) -> DataFrame:
+    """A report in an order, nulls last, with each row's rank; equal rows share one. Reports hold one row a key, so one task orders them."""
+    columns = [(c.asc_nulls_last() if up else c.desc_nulls_last()) for c, up in ((F.col(o.lstrip("-")), not o.startswith("-")) for o in order)]
+    return report.withColumn("rank", F.rank().over(Window.orderBy(*columns))).orderBy("rank")

@@ -60,3 +60,47 @@ def profiles(decoded: DataFrame, sessions: DataFrame, *, harness: Column | str =
     out = out.join(result(S.skill_activations(decoded, sessions), "skill_activation", F.col("activations")), "session")
     out = out.join(result(S.timing(decoded, sessions), "timing", F.struct("start_time", "end_time", "total_ms")), "session")
     return out.withColumn("attribution", F.struct(F.lit("unknown").alias("state"), F.lit(ATTRIBUTION_REASON).alias("reason"), F.lit("none").alias("source")))
+
+
+def capture(decoded: DataFrame, session: str, **about) -> DataFrame:
+    """The profile of one session. An empty id is refused: it would profile whatever has no session."""
+    if not session:
+        raise ValueError("a session id is required to capture")
+    one = decoded.sparkSession.createDataFrame([(session,)], "session string")
+    return profiles(decoded, one, **about)
+
+
+#: The session that probe() gives every row, so that the signals of all sessions count together.
+ANY = "*"
+
+
+def probe(decoded: DataFrame, **about) -> DataFrame:
+    """Over all sessions together: one row with capability (metric to source) and diagnostics (distinct reasons of what wasn't found, in the order of the metrics)."""
+    together = decoded.withColumn("session", F.when(F.col("kind") != "file", F.lit(ANY)))
+    one = profiles(together, decoded.sparkSession.createDataFrame([(ANY,)], "session string"), **about)
+    signals = [m for m in METRICS if m in one.columns]
+    sources = F.map_from_arrays(F.array(*[F.lit(m) for m in signals]), F.array(*[F.col(f"{m}.source") for m in signals]))
+    reasons = F.array_distinct(F.array_compact(F.array(*[F.when(F.col(f"{m}.state") != "present", F.nullif(F.trim(f"{m}.reason"), F.lit(""))) for m in signals])))
+    return one.select(sources.alias("capability"), reasons.alias("diagnostics"))
+
+
+def environment(decoded: DataFrame | None, spool_summary: DataFrame | None = None, hooks: dict | None = None) -> dict:
+    """What there is to measure with: tier "export" if a probe of the export finds a signal, else "none"; what the spool and hooks.json hold. Nothing of it raises: what
+    can't be read is reported as such."""
+
+    def observed(what):
+        try:
+            return what() | {"readable": True}
+        except Exception as e:  # noqa: BLE001 (a report on what works must outlive what doesn't)
+            return {"readable": False, "why": str(e).splitlines()[0] if str(e) else type(e).__name__}
+
+    out: dict = {"tier": "none"}
+    if decoded is not None:
+        out["export"] = observed(lambda: probe(decoded).first().asDict(recursive=True))
+        if any(s != "none" for s in out["export"].get("capability", {}).values()):
+            out["tier"] = "export"
+    if spool_summary is not None:
+        out["spool"] = observed(lambda: spool_summary.first().asDict(recursive=True))
+    if hooks is not None:
+        out["hooks"] = observed(lambda: {"events": sorted((hooks.get("hooks") or {}).keys())})
+    return out

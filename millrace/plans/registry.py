@@ -17,6 +17,9 @@ from millrace.operators.redaction import kept_payloads, redacted_text
 from millrace.plans import profile as PR
 from millrace.plans import views as V
 from millrace.session import ship
+from millrace.sources import otlp
+from millrace.sources.spool import read_lines
+from millrace.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -435,3 +438,150 @@ def rewrite_missing_sections(v: DataFrame) -> DataFrame:
 )
 def audit_spec(v: DataFrame) -> DataFrame:
     return A.spec_findings(A.sections(v)).select("skill", "rule")
+
+
+# --- exports: OTLP text is built from the tables, and decoded to what it was built from. Every seventh file has lost its end.
+
+_FILE_POINTS = """
+SELECT l_suppkey AS n, concat('{{"resourceMetrics":[{{"resource":{{"attributes":[{{"key":"host","value":{{"stringValue":"h', l_suppkey % 3, '"}}}}]}},"scopeMetrics":[{{"scope":{{"name":"com.anthropic.claude_code"}},"metrics":[{{"name":"claude_code.token.usage","sum":{{"aggregationTemporality":', 1 + l_suppkey % 2, ',"dataPoints":[',
+       array_join(collect_list(concat('{{"attributes":[', CASE WHEN l_linenumber % 2 = 0 THEN concat(s, ',', t) ELSE concat(t, ',', s) END, '],"asInt":"', CAST(l_quantity AS BIGINT), '","startTimeUnixNano":', l_linenumber, ',"timeUnixNano":"', l_orderkey, '"}}')), ','),
+       CASE WHEN l_suppkey % 7 = 0 THEN ']}}}}' ELSE ']}}}}]}}]}}]}} ' END) AS content
+FROM (SELECT *, concat('{{"key":"session.id","value":{{"stringValue":"s', l_orderkey % 20, '"}}}}') AS s, concat('{{"key":"type","value":{{"stringValue":"', CASE l_orderkey % 3 WHEN 0 THEN 'input' WHEN 1 THEN 'output' ELSE 'total' END, '"}}}}') AS t FROM {lineitem})
+GROUP BY l_suppkey
+"""
+
+_FILE_RECORDS = """
+SELECT user_id AS n, concat('{{"resourceLogs":[{{"scopeLogs":[{{"scope":{{"name":"', CASE WHEN user_id % 5 = 0 THEN 'other' ELSE 'com.anthropic.claude_code' END, '"}},"logRecords":[',
+       array_join(collect_list(concat('{{"timeUnixNano":', event_id, ',"body":{{"stringValue":"claude_code.', event_type, '"}},"attributes":[{{"key":"session.id","value":{{"stringValue":"u', user_id, '"}}}},{{"key":"event.name","value":{{"stringValue":"', event_type,
+       '"}}}},{{"key":"tool_name","value":', CASE WHEN event_id % 4 = 0 THEN '{{"intValue":7}}' ELSE concat('{{"stringValue":"t', event_id % 7, '"}}') END, '}},{{"key":"success","value":', CASE WHEN event_id % 3 = 0 THEN '{{"boolValue":true}}' ELSE '{{"stringValue":"false"}}' END, '}}]}}')), ','),
+       ']}}]}}]}}', CASE WHEN user_id % 7 = 0 THEN '{{' WHEN user_id % 7 = 1 THEN '[]' ELSE '\\n' END) AS content
+FROM {events} GROUP BY user_id
+"""
+
+
+def export_query(template: str, sql: str):
+    """Registers a query of the decoded rows of a view of files (n, content)."""
+
+    def add(f: Callable[[DataFrame], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            files = V.spark_view(ship(spark), sf_dir, template)
+            return f(otlp.decoded(files.select(F.col("n").cast("string").alias("path"), F.encode("content", "UTF-8").alias("content"))))
+
+        QUERIES[f.__name__] = run
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@export_query(_FILE_POINTS, "SELECT l_suppkey::VARCHAR AS file, 's' || (l_orderkey % 20) AS session, CASE l_orderkey % 3 WHEN 0 THEN 'input' WHEN 1 THEN 'output' ELSE 'total' END AS label, 1 + l_suppkey % 2 AS temporality, l_quantity::BIGINT AS value, l_linenumber::BIGINT AS start_ns, nullif(l_orderkey::BIGINT, 0) AS time_ns FROM lineitem WHERE l_suppkey % 7 <> 0")
+def decode_points(rows: DataFrame) -> DataFrame:
+    return rows.where("kind = 'point'").select("file", "session", "label", L.temporality(F.col("temporality_raw")).cast("long").alias("temporality"), L.int_leaf(F.col("as_int_raw")).alias("value"), L.nanos_leaf(F.col("start_raw")).alias("start_ns"), L.nanos_leaf(F.col("time_raw")).alias("time_ns"))
+
+
+@export_query(_FILE_POINTS, "SELECT l_suppkey::VARCHAR AS file, count(DISTINCT (l_orderkey % 20, l_orderkey % 3)) AS series, count(*) AS points FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY 1")
+def decode_series(rows: DataFrame) -> DataFrame:
+    """Points whose attributes stand in another order are one series."""
+    return rows.where("kind = 'point'").groupBy("file").agg(F.count_distinct("series").alias("series"), F.count("*").alias("points"))
+
+
+@export_query(_FILE_RECORDS, """SELECT user_id::VARCHAR AS file, 'u' || user_id AS session, CASE WHEN user_id % 5 = 0 THEN 'other' ELSE 'com.anthropic.claude_code' END AS scope, 'claude_code.' || event_type AS name, event_id::BIGINT AS ns,
+ CASE WHEN event_id % 4 <> 0 THEN 't' || (event_id % 7) END AS tool_name, event_id % 3 = 0 AS success FROM events WHERE user_id % 7 > 1""")
+def decode_records(rows: DataFrame) -> DataFrame:
+    return rows.where("kind = 'record'").select("file", "session", "scope", L.event_name(F.col("body"), F.col("event_attr")).alias("name"), L.nanos_leaf(F.col("time_raw")).alias("ns"), "tool_name", L.bool_leaf(F.col("success_raw")).alias("success"))
+
+
+@export_query(_FILE_RECORDS, "SELECT user_id::VARCHAR AS file, user_id % 7 < 2 AS refused, CASE user_id % 7 WHEN 0 THEN 'malformed' WHEN 1 THEN 'does not fit' END AS why, user_id % 7 > 1 AS envelope FROM events GROUP BY 1, 2, 3, 4")
+def decode_errors(rows: DataFrame) -> DataFrame:
+    """One bad byte, or one batch that is no object, and the whole file is refused."""
+    why = F.when(F.col("error").contains("malformed"), "malformed").when(F.col("error").contains("does not fit"), "does not fit")
+    return rows.where("kind = 'file'").select("file", F.col("error").isNotNull().alias("refused"), why.alias("why"), "envelope")
+
+
+# --- payloads and lines
+
+_PAYLOAD = """
+SELECT event_id, CASE WHEN event_id % 6 = 0 THEN concat('not json ', event_id) WHEN event_id % 6 = 1 THEN concat('{{"cwd":', event_id, ',"hook_event_name":""}}')
+       ELSE concat('{{"hook_event_name":"', event_type, '","cwd":"/w/', user_id, '","conversation_id":"c', user_id % 50, '","auth_token":"a', event_id, '"}}') END AS value
+FROM {events}
+"""
+
+
+@query(_PAYLOAD, """SELECT CASE WHEN event_id % 6 < 2 THEN 'unknown' ELSE value->>'$.hook_event_name' END AS event, CASE WHEN event_id % 6 > 1 THEN value->>'$.cwd' END AS cwd, CASE WHEN event_id % 6 > 1 THEN value->>'$.conversation_id' END AS conversation_id, 'spool/v1' AS schema_version,
+ CASE WHEN event_id % 6 = 0 THEN '"' || value || '"' WHEN event_id % 6 = 1 THEN value ELSE regexp_replace(value, '"a[0-9]+"', '"[REDACTED]"') END AS raw FROM v""".replace("value->>'$.", "CASE WHEN event_id % 6 > 0 THEN value ELSE '{}' END->>'$."))
+def normalize_payloads(v: DataFrame) -> DataFrame:
+    return ingest.normalized(v).select("event", "cwd", "conversation_id", "schema_version", "raw")
+
+
+@query(_PAYLOAD, """SELECT event_id, event_id % 6 > 1 AS readable, CASE WHEN event_id % 6 > 1 THEN CASE WHEN event_id % 6 > 0 THEN value ELSE '{}' END->>'$.cwd' END AS cwd FROM v""")
+def readable_lines(v: DataFrame) -> DataFrame:
+    """A line of no JSON, or with a field of a wrong type, is unreadable."""
+    return v.select("event_id", read_lines("value").alias("e")).select("event_id", "e.readable", "e.cwd")
+
+
+@query(V.SPOOL, f"SELECT row_number() OVER (ORDER BY ts, event_id)::BIGINT AS place, event_id, ts FROM v WHERE conversation_id = 's7' OR ({OBJECT} AND raw->>'$.session_id' = 's7')")
+def ordered_session_events(v: DataFrame) -> DataFrame:
+    return P.ordered_session_events(v, "s7", tie=("event_id",)).select(F.col("place").cast("long").alias("place"), "event_id", "ts")
+
+
+@query(V.SPOOL, f"SELECT rank() OVER (ORDER BY {DAY} DESC NULLS LAST, count(*) DESC NULLS LAST)::BIGINT AS rank, {DAY} AS day, event, count(*) AS lines FROM v GROUP BY {DAY}, event")
+def ranked_events_per_day(v: DataFrame) -> DataFrame:
+    return P.ranked(P.events_per_day(v), "-day", "-lines").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(V.SPOOL, "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '1 data point dropped' ELSE '2 data points dropped; 1 time series mixed' END AS said FROM v")
+def phrases(v: DataFrame) -> DataFrame:
+    n = F.col("event_id") % 3
+    return v.select("event_id", L.reason((n, "data point", "dropped"), (n - 1, "time series", "mixed")).alias("said"))
+
+
+@query(V.SPOOL, "SELECT event_id, coalesce(nullif(regexp_replace(CASE WHEN event_id % 4 = 0 THEN '' ELSE event || '/' || (event_id % 9) || ' é' END, '[^A-Za-z0-9_-]', '-', 'g'), ''), 'task') AS name FROM v")
+def safe_names(v: DataFrame) -> DataFrame:
+    return v.select("event_id", E.safe_name(F.when(F.col("event_id") % 4 == 0, "").otherwise(F.concat("event", F.lit("/"), (F.col("event_id") % 9).cast("string"), F.lit(" é")))).alias("name"))
+
+
+# --- profiles in their saved form
+
+_SAVED = """
+SELECT concat('p', event_id) AS profile_path, CASE WHEN event_id % 13 = 0 THEN 'profile/v0' ELSE 'profile/v1' END AS {schema}, concat('{{"adapter_version":"', event_id % 2, '"}}') AS capability,
+       concat('{{"state":"', CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE 'present' END, '","source":"', CASE WHEN event_id % 3 = 0 THEN '' ELSE 'otel' END, '"', CASE WHEN event_id % 7 = 0 THEN '' ELSE concat(',"value":[{{"name":"a","success":true,"count":', event_id % 4, '}},{{"name":"b","success":false}}]') END, '}}') AS tool_calls,
+       concat('{{"state":"present","source":"otel","value":{{"count":', event_id % 17, '}}}}') AS attribution, event_id
+FROM {events}
+""".replace("{schema}", "schema")
+
+
+def _saved(v: DataFrame) -> DataFrame:
+    kinds = {f.split(" ", 1)[0]: f.split(" ", 1)[1] for f in C.PROFILE.replace(", ", "\n").split("\n")}
+    return v.select("event_id", "profile_path", "schema", *[(F.from_json(c, kinds[c]) if c in v.columns else F.lit(None).cast(kinds[c])).alias(c) for c in ("capability", *C.METRICS)])
+
+
+@query(_SAVED, """SELECT profile_path, CASE WHEN event_id % 13 = 0 THEN 'schema: "profile/v0" is not profile/v1' ELSE 'tool_calls: present without a value' END AS reason FROM v WHERE event_id % 13 = 0 OR event_id % 7 = 0 AND event_id % 5 <> 0""")
+def profile_refusals(v: DataFrame) -> DataFrame:
+    return C.profile_refusal(_saved(v))
+
+
+@query(_SAVED, """SELECT profile_path, CASE WHEN event_id % 3 = 0 THEN 'none' ELSE 'otel' END AS source, event_id % 7 <> 0 AS has_value, CASE WHEN event_id % 7 <> 0 THEN greatest(event_id % 4, 1) + 1 END::BIGINT AS calls, CASE WHEN event_id % 7 <> 0 THEN greatest(event_id % 4, 1) END::BIGINT AS successes FROM v""")
+def tool_call_counts(v: DataFrame) -> DataFrame:
+    return C.long_form(_saved(v)).where("metric = 'tool_calls'").select("profile_path", "source", "has_value", "calls", "successes")
+
+
+_STEPS = """, s AS (SELECT x.event_id AS id, x.event_id % 17 AS a, y.event_id % 17 AS b FROM v x JOIN v y ON y.event_id = x.event_id + 2)"""
+
+
+@query(_SAVED, _STEPS + " SELECT 'f' || id || chr(10) || '1' AS pair_id, TRUE AS comparable, (b - a)::BIGINT AS delta FROM s")
+def run_results(v: DataFrame) -> DataFrame:
+    """A plan's runs joined to the profiles at their paths: run n pairs profile n with profile n + 2; the attribution's count is compared."""
+    sides = [v.select((F.col("event_id") - 2 * i).alias("id"), F.lit(s).alias("side"), "profile_path") for i, s in enumerate(E.SIDES)]
+    runs = sides[0].unionAll(sides[1]).select(F.concat(F.lit("f"), "id").alias("task_family"), F.lit(1).alias("repetition"), "side", "profile_path")
+    return C.number_deltas(E.results(runs, C.long_form(_saved(v))), "attribution", "count").select("pair_id", "comparable", "delta")
+
+
+# --- audit documents
+
+
+@query(V.SKILLS, "SELECT skill, passed, status, rule FROM (SELECT skill, CASE WHEN length(skill) % 3 = 0 THEN NULL ELSE length(skill) % 3 = 1 END AS passed, length(skill) % 2 AS status FROM v) x, (SELECT 1) y, LATERAL (SELECT CASE WHEN passed IS NULL THEN 'DEP001' WHEN passed <> (status = 0) THEN 'DEP002' END AS rule) z WHERE rule IS NOT NULL")
+def audit_children(v: DataFrame) -> DataFrame:
+    n = F.length("skill")
+    passed = F.when(n % 3 != 0, n % 3 == 1)
+    children = v.select("skill", F.lit("spec").alias("child"), (n % 2).alias("status"), F.when(passed.isNull(), "no json").otherwise(F.concat(F.lit('{"passed":'), passed.cast("string"), F.lit("}"))).alias("payload"))
+    return A.child_findings(children).join(children.withColumn("passed", passed).select("skill", "passed", "status"), "skill").select("skill", "passed", "status", "rule")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
@@ -49,16 +49,14 @@ def read_lines(lines: pd.Series) -> pd.DataFrame:
 
 
 def read_spool(spark: SparkSession, directory: str) -> DataFrame:
-    """One row for each line that isn't blank: file, line_no, readable and the envelope's fields. Files are those named *.jsonl of the directory itself."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(directory).select("path", "content")
-
-    def lines(batches):
-        for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
-                rows = [(path, i, x) for i, x in enumerate(bytes(content).decode("utf-8", "replace").split("\n")) if x.strip()]
-                yield pd.DataFrame(rows, columns=["file", "line_no", "line"])
-
-    split = files.mapInPandas(lines, "file string, line_no long, line string")
+    """One row for each line that isn't blank: file, line_no, readable and the envelope's fields. Files are those named *.jsonl of the directory itself, and what append() and ingest() put into its
+    folders of days. Large files are read in splits; line_no ascends with the lines of a file, and tells no more than their order."""
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.{jsonl,txt}").option("recursiveFileLookup", "true").text(directory)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("n"), F.col("value").alias("line"))
+    under = F.lit(directory.rstrip("/").rpartition("/")[2])
+    own = F.regexp_extract("file", "([^/]+)/[^/]+\\.jsonl$", 1) == under
+    lines = lines.where((own | F.col("file").rlike("/day=[^/]*/[^/]+\\.txt$")) & F.col("line").rlike("\\S"))
+    split = lines.select("file", (F.shiftleft("start", 20) + F.col("n")).alias("line_no"), "line")
     return split.select("file", "line_no", read_lines("line").alias("e")).select("file", "line_no", "e.*")
 
 
@@ -70,6 +68,12 @@ def spool_files(spark: SparkSession, directory: str) -> int:
     return sum(1 for f in found if f.isFile() and f.getPath().getName().endswith(".jsonl"))
 
 
+def line_of(spool: DataFrame) -> Column:
+    """An envelope's line as a Column: absent fields are left out, the payload stands as it is."""
+    text = [F.when(F.col(n).isNotNull(), F.concat(F.lit(f'"{n}":'), F.col(n) if n == "raw" else F.col(n).cast("string") if k == "boolean" else F.regexp_replace(F.to_json(F.array(F.col(n))), "^\\[|\\]$", ""))) for n, k in FIELDS if n in spool.columns]
+    return F.concat(F.lit("{"), F.concat_ws(",", *text), F.lit("}"))
+
+
 def to_line(row: dict) -> str:
     """An envelope as a line; absent fields are left out."""
     parts = [f"{json.dumps(n)}:{row['raw'] if n == 'raw' else json.dumps(row[n], ensure_ascii=False)}" for n, _ in FIELDS if row.get(n) is not None]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.redaction import is_one_value, kept_payloads
+from millrace.sources.spool import line_of
 
 SPOOL_VERSION = "spool/v1"
 
@@ -37,16 +38,21 @@ def normalized(payloads: DataFrame, *, payload: str = "value", strict: bool = Fa
 
 
 def append(spool: DataFrame, path: str) -> None:
-    """Batch sink: JSON lines in a folder for each day. Times shorter than a date are refused."""
+    """Batch sink: envelopes as lines in a folder for each day, as read_spool() reads them. Times shorter than a date are refused."""
+    _lines(spool).write.mode("append").partitionBy("day").text(path)
+
+
+def _lines(spool: DataFrame) -> DataFrame:
+    """day, value: each envelope's line."""
     day = F.when(F.length("ts") >= 10, F.substring("ts", 1, 10)).otherwise(F.raise_error(F.lit("a spool event needs a time")))
-    spool.withColumn("day", day).write.mode("append").partitionBy("day").json(path)
+    return spool.select(day.alias("day"), line_of(spool).alias("value"))
 
 
 def ingest(spark: SparkSession, source: str, path: str, checkpoint: str, *, strict: bool = False, once: bool = True) -> StreamingQuery:
     """Streams payload lines of the text files in source to the spool at path."""
     lines = spark.readStream.option("wholetext", "false").option("lineSep", "\n").text(source).where("trim(value) <> ''")
-    out = normalized(lines, strict=strict).withColumn("day", F.substring("ts", 1, 10))
-    writer = out.writeStream.format("json").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    out = _lines(normalized(lines, strict=strict))
+    writer = out.writeStream.format("text").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

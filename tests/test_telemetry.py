@@ -103,8 +103,8 @@ def test_experiment_rules():
     side = {"command": "run $TASK $PROFILE $HOME", "snapshot_hash": "h", "skill_dir": "d"}
     good = experiment.with_defaults({"name": "n", "task_families": ["a b"], "baseline": side, "candidate": side})
     assert experiment.design_refusal(good) is None
-    assert experiment.design_refusal(good | {"ordering": "random"}).startswith('unsupported ordering "random"')
-    assert experiment.design_refusal(good | {"task_families": []}).startswith("task_families is required")
+    assert experiment.design_refusal(good | {"ordering": "random"}).startswith('ordering: "random"')
+    assert experiment.design_refusal(good | {"task_families": []}).startswith("task_families: ")
     assert experiment.substituted("run $TASK $PROFILE $HOME", {"TASK": "$REP", "REP": "1", "PROFILE": "p"}) == "run $REP p $HOME"
 
 
