@@ -35,6 +35,7 @@ def mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of docs: id_col, size (words), source_size, target (its source's), copies, taken (size * copies).
 
     copies is the whole part of target / source_size and one more with the fraction's probability, drawn from a hash of the id and the seed, so reruns agree.
+    A source's taken words have the target as their mean and spread around it by sqrt(sum of size^2 * f * (1 - f)), f the rate's fraction: the fewer its documents, the wider.
     A null text has size 0; rows with a null source are one source, last in order; a source without words has target 0 and its documents no copies.
     Rows with one id draw alike. An empty table gives no rows.
     """

@@ -1,8 +1,8 @@
 """Robust multivariate outliers among texts' statistics [native: DataFrame functions only].
 
 Five statistics of each text are transformed to a vector. Per language and source a minimum-covariance-determinant estimate
-is found: concentration steps from two robust starts, each keeping the share of vectors nearest to the mean by Mahalanobis distance, until
-the covariance of the kept ones is small; the start with the lower determinant wins, and one reweighting step follows.
+is found: concentration steps from two starts (all vectors; medians with spreads from quartiles), each keeping the share of vectors nearest to the mean by Mahalanobis distance, for
+STEPS steps; the start with the lower determinant wins, and one reweighting step follows.
 A text is rejected when its squared distance exceeds a quantile of the chi-squared law.
 
 A step is two aggregations over a narrow table of vectors (never over texts): counts of distances by fine bins give each

@@ -81,7 +81,15 @@ def test_shards(spark, odd):
 
 def test_mixture(spark, odd):
     rows = mixture(odd).collect()
-    assert sum({r.source_size: r.target for r in rows}.values()) == pytest.approx(1.5 * sum(r.size for r in rows)) or len({r.source_size for r in rows}) < 3
+    docs = [(i, "w " * (1 + i % 37), "ab"[i % 2] if i % 5 else None) for i in range(3000)]
+    many = mixture(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    sources = {}
+    for r in many:
+        size, target, taken, spread = sources.get(r.source_size, (0, 0, 0, 0.0))
+        f = r.target / r.source_size % 1
+        sources[r.source_size] = (size + r.size, r.target, taken + r.taken, spread + r.size**2 * f * (1 - f))
+    assert len(sources) == 3 and sum(t for _, t, _, _ in sources.values()) == pytest.approx(1.5 * sum(r.size for r in many))
+    assert all(abs(taken - target) <= 4 * spread**0.5 + 1e-6 for _, target, taken, spread in sources.values())
     assert all(r.taken <= 2 * r.size and r.target <= 2 * r.source_size + 1e-6 for r in rows)
     assert mixed_documents(odd).columns == odd.columns and mixed_documents(odd).count() == sum(r.copies for r in rows)
     assert mixture(odd.limit(0)).count() == 0
