@@ -1,13 +1,14 @@
 """Robust multivariate outliers among texts' statistics [native: DataFrame functions only].
 
-Five statistics of each text are transformed to a vector. Per language and source a minimum-covariance-determinant estimate
-is found: concentration steps from two starts (all vectors; medians with spreads from quartiles), each keeping the share of vectors nearest to the mean by Mahalanobis distance, for
-STEPS steps; the start with the lower determinant wins, and one reweighting step follows.
+Five statistics of each text are transformed to a vector. Per language and source a minimum-covariance-determinant estimate is found: from each of the STARTS
+concentration steps keep the share of vectors nearest to the mean by Mahalanobis distance; after FIRST_STEPS of them the start with the lowest determinant goes on
+until its log-determinant falls by no more than SETTLED, and one reweighting step follows. A determinant has a floor and must fall by more than SETTLED for another step, so the steps end.
 A text is rejected when its squared distance exceeds a quantile of the chi-squared law.
 
-A step is two aggregations over a narrow table of vectors (never over texts): counts of distances by fine bins give each
-group's cut, then exact integer sums give the moments of what lies below. Nothing is sorted within a group, so a hot language or source is
-added up map-side. Groups too small for a covariance are pooled by language, then all together.
+A step is two aggregations over a narrow table of vectors (never over texts): counts of distances by fine bins find the bin in which each
+group's share ends, then exact integer sums of what lies below it and of what lies in it, the latter weighted by the part of it that the share takes, give the moments. Nothing is sorted within
+a group, so a hot language or source is added up map-side. Groups that have settled leave the steps. Sums and medians are exact, so reruns agree.
+Groups too small for a covariance are pooled by language, then all together.
 """
 
 from __future__ import annotations
@@ -27,8 +28,13 @@ UNIT = 1 << 12
 FLOOR = (0.6, 0.07, 0.25, 0.45, 0.08)
 #: Bins of ln(squared distance) a unit.
 BINS = 32
-#: Steps of concentration.
-STEPS = 3
+#: Starts: mean and covariance of all vectors; medians with spreads from quartiles; the same medians and spreads with the correlations of tanh(z), z the vector in spreads from the
+#: medians; and with those of the spatial signs z / |z|. All but the first withstand outliers.
+STARTS = ("all", "quartiles", "tanh", "signs")
+#: Concentration steps before the best start is chosen.
+FIRST_STEPS = 2
+#: Least fall of the log-determinant for another step.
+SETTLED = 1e-3
 
 
 def base_statistics(text: Column) -> dict[str, Column]:
@@ -94,83 +100,137 @@ def vector() -> list[Column]:
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
-def moments(start: str, inside: Column) -> list[Column]:
-    """Count, sums and sums of products of the vectors for which inside holds, exact."""
-    one = F.when(inside, F.lit(1))
-    out = [F.count(one).alias(f"{start}n")]
-    out += [F.sum(F.when(inside, F.col(f"x{i}")).cast("decimal(18,0)")).alias(f"{start}s{i}") for i in range(P)]
-    return out + [F.sum(F.when(inside, F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(20,0)")).alias(f"{start}s{i}_{j}") for i, j in PAIRS]
+def moments(prefix: str, inside: str = "true") -> list[Column]:
+    """Count, sums and sums of products of the vectors for which inside (SQL) holds, exact. These and the columns below are built from SQL text: hundreds of column objects would take the driver longer than the work itself."""
+    sums = [f"count_if({inside}) AS {prefix}n"]
+    sums += [f"sum(CAST(CASE WHEN {inside} THEN x{i} END AS decimal(18,0))) AS {prefix}s{i}" for i in range(P)]
+    return [F.expr(e) for e in sums + [f"sum(CAST(CASE WHEN {inside} THEN x{i} * x{j} END AS decimal(20,0))) AS {prefix}s{i}_{j}" for i, j in PAIRS]]
 
 
-def shape(df: DataFrame, start: str, widen: float = 1.0) -> DataFrame:
-    """From the moments named by start: mean m_i, Cholesky factor l_i_j of the covariance (times widen, with the floors) and its log-determinant, as columns named by start."""
-    n = F.greatest(F.col(f"{start}n"), F.lit(1)).cast("double")
-    df = df.withColumns({f"{start}m{i}": F.coalesce(F.col(f"{start}s{i}").cast("double"), F.lit(0.0)) / n / UNIT for i in range(P)})
+def covariance(df: DataFrame, prefix: str, widen: float = 1.0, partly: str | None = None) -> DataFrame:
+    """Adds mean m_i and covariance c_i_j (times widen, with the floors) from the moments named by prefix, plus column `part` of those named by `partly`."""
 
-    def cov(i: int, j: int) -> Column:
-        c = F.coalesce(F.col(f"{start}s{i}_{j}").cast("double"), F.lit(0.0)) / n / UNIT / UNIT - F.col(f"{start}m{i}") * F.col(f"{start}m{j}")
-        return c * widen + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0))
+    def total(what: str) -> str:
+        value = f"coalesce(CAST({prefix}{what} AS double), 0D)"
+        return value if partly is None else f"({value} + part * coalesce(CAST({partly}{what} AS double), 0D))"
 
-    df = df.withColumns({f"{start}c{i}_{j}": cov(i, j) for i, j in PAIRS})
+    n = [f"greatest({total('n')}, 1D) AS _n"]
+    means = [f"{total(f's{i}')} / _n / {UNIT} AS m{i}" for i in range(P)]
+    floor = lambda i, j: f"{FLOOR[i] ** 2!r}D" if i == j else "0D"
+    return df.selectExpr("*", *n, *means, *[f"({total(f's{i}_{j}')} / _n / {UNIT} / {UNIT} - m{i} * m{j}) * {widen!r}D + {floor(i, j)} AS c{i}_{j}" for i, j in PAIRS])
+
+
+def factored(df: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, the means, and from the covariance c_i_j its Cholesky factor l_i_j and log-determinant det."""
+    steps = []
     for j in range(P):  # column by column
-        left = F.col(f"{start}c{j}_{j}")
-        for k in range(j):
-            left = left - F.col(f"{start}l{j}_{k}") ** 2
-        df = df.withColumn(f"{start}l{j}_{j}", F.sqrt(F.greatest(left, F.lit(1e-6))))
-        below = {}
+        left = "".join(f" - l{j}_{k} * l{j}_{k}" for k in range(j))
+        steps.append(f"sqrt(greatest(c{j}_{j}{left}, 1e-6D)) AS l{j}_{j}")
         for i in range(j + 1, P):
-            left = F.col(f"{start}c{j}_{i}")
-            for k in range(j):
-                left = left - F.col(f"{start}l{i}_{k}") * F.col(f"{start}l{j}_{k}")
-            below[f"{start}l{i}_{j}"] = left / F.col(f"{start}l{j}_{j}")
-        if below:
-            df = df.withColumns(below)
-    return df.withColumn(f"{start}det", sum((2 * F.log(F.col(f"{start}l{j}_{j}")) for j in range(P)), F.lit(0.0)))
+            left = "".join(f" - l{j}_{k} * l{i}_{k}" for k in range(j))
+            steps.append(f"(c{j}_{i}{left}) / l{j}_{j} AS l{i}_{j}")
+    return df.selectExpr("*", *steps).selectExpr(*columns, *SHAPE[:-1], "2 * (" + " + ".join(f"ln(l{j}_{j})" for j in range(P)) + ") AS det")
 
 
-def shape_columns(start: str) -> list[str]:
-    return [f"{start}m{i}" for i in range(P)] + [f"{start}l{i}_{j}" for j in range(P) for i in range(j, P)] + [f"{start}det"]
+SHAPE = [f"m{i}" for i in range(P)] + [f"l{i}_{j}" for j in range(P) for i in range(j, P)] + ["det"]
 
 
-def distance(df: DataFrame, start: str, to: str) -> DataFrame:
+def distance(df: DataFrame, to: str) -> DataFrame:
     """Adds the squared Mahalanobis distance: forward substitution through the Cholesky factor."""
+    steps = []
     for i in range(P):
-        left = F.col(f"x{i}") / F.lit(float(UNIT)) - F.col(f"{start}m{i}")
-        for k in range(i):
-            left = left - F.col(f"{start}l{i}_{k}") * F.col(f"_z{k}")
-        df = df.withColumn(f"_z{i}", left / F.col(f"{start}l{i}_{i}"))
-    return df.withColumn(to, sum((F.col(f"_z{i}") ** 2 for i in range(P)), F.lit(0.0))).drop(*[f"_z{i}" for i in range(P)])
+        left = "".join(f" - l{i}_{k} * _z{k}" for k in range(i))
+        steps.append(f"(x{i} / {float(UNIT)!r}D - m{i}{left}) / l{i}_{i} AS _z{i}")
+    return df.selectExpr("*", *steps, " + ".join(f"_z{i} * _z{i}" for i in range(P)) + f" AS {to}").drop(*[f"_z{i}" for i in range(P)])
+
+
+def every_salt(salts: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+
+
+def measured(vectors: DataFrame, shapes: DataFrame, salts: int, *columns: str) -> DataFrame:
+    """Each vector with its squared distance d2 under each shape of its group, and the bin of that distance."""
+    out = distance(vectors.join(shapes.select("g", *columns, *SHAPE, every_salt(salts)), ["g", "salt"]), "d2")
+    return out.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-9) * BINS))
+
+
+def starts(vectors: DataFrame, salts: int) -> DataFrame:
+    """g, total, s and a shape for each group and start."""
+    # exact percentiles count distinct values, of which a dimension has at most its range times UNIT
+    quartiles = [F.expr(f"percentile(x{i}, array(0.25, 0.5, 0.75)) AS q{i}") for i in range(P)]
+    first = kept(vectors.groupBy("g").agg(*moments(""), *quartiles), "starts")
+    spreads = [f"sqrt(pow((q{i}[2] - q{i}[0]) / {UNIT} / 1.349D, 2) + {FLOOR[i] ** 2!r}D) AS w{i}" for i in range(P)]
+    mids = first.selectExpr("g", "n AS total", *[f"q{i}[1] / {UNIT} AS m{i}" for i in range(P)], *spreads)
+    rows = vectors.join(mids.select("*", every_salt(salts)), ["g", "salt"])
+    rows = rows.selectExpr("g", *[f"(x{i} / {float(UNIT)!r}D - m{i}) / w{i} AS z{i}" for i in range(P)], "sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(P)) + ") AS far")
+    columns = ["g", "total", "s", *[f"m{i}" for i in range(P)]]
+
+    def of(name: str, value: str) -> DataFrame:  # exact sums of whole numbers, so that reruns agree
+        ys = rows.selectExpr("g", *[f"CAST(round({value.format(f'z{i}')} * {UNIT}) AS long) AS x{i}" for i in range(P)])
+        inner = lambda i, j: f"(CAST(s{i}_{j} AS double) + {1e-3 if i == j else 0.0}D)"
+        scaled = [f"{inner(i, j)} / sqrt({inner(i, i)} * {inner(j, j)}) * w{i} * w{j} AS c{i}_{j}" for i, j in PAIRS]
+        return ys.groupBy("g").agg(*moments("")).join(mids, "g").selectExpr("*", f"'{name}' AS s").selectExpr(*columns, *scaled)
+
+    every = covariance(first, "").selectExpr("*", "n AS total", f"'{STARTS[0]}' AS s")
+    plain = mids.selectExpr("*", f"'{STARTS[1]}' AS s", *[f"w{i} * w{i} AS c{i}_{j}" if i == j else f"0D AS c{i}_{j}" for i, j in PAIRS])
+    columns_of = [*columns, *[f"c{i}_{j}" for i, j in PAIRS]]
+    out = every.select(columns_of).unionByName(plain.select(columns_of)).unionByName(of(STARTS[2], "tanh({})")).unionByName(of(STARTS[3], "CASE WHEN far > 0 THEN {} / far ELSE 0D END"))
+    return kept(factored(out, "g", "total", "s"), "shapes")
+
+
+def concentrated(vectors: DataFrame, shapes: DataFrame, share: float, salts: int) -> DataFrame:
+    """One concentration step: for each row of shapes (g, total, s) the shape of the share of vectors nearest under it, and `fall`, by how much its log-determinant fell."""
+    counts = measured(vectors, shapes, salts, "s").groupBy("g", "s", "bin").count()
+    counts = counts.selectExpr("*", "sum(count) OVER (PARTITION BY g, s ORDER BY bin) - count AS before", f"ceil({share!r}D * sum(count) OVER (PARTITION BY g, s)) AS need")
+    cuts = counts.where("before < need AND need <= before + count").selectExpr("g", "s", "bin AS cut", "(need - before) / count AS part")
+    cuts = shapes.join(cuts, ["g", "s"])
+    inside = measured(vectors, cuts, salts, "s", "cut").where("bin <= cut")
+    sums = inside.groupBy("g", "s").agg(*moments("b", "bin < cut"), *moments("e", "bin = cut"))
+    new = covariance(sums.join(cuts.selectExpr("g", "s", "total", "part", "det AS was"), ["g", "s"]), "b", partly="e")
+    return kept(factored(new, "g", "total", "s", "was").selectExpr("g", "total", "s", *SHAPE, "was - det AS fall"), "shapes")
+
+
+def determinants(vectors: DataFrame, *, share: float, salts: int) -> DataFrame:
+    """g, total, s and the settled shape of the best start s of each group in vectors (g, salt, x_i)."""
+    shapes = starts(vectors, salts)
+    for _ in range(FIRST_STEPS):
+        shapes = concentrated(vectors, shapes, share, salts)
+    best = Window.partitionBy("g").orderBy("det", "s")  # as many rows as there are starts
+    going = shapes.withColumn("place", F.row_number().over(best)).where("place = 1").select("g", "total", "s", *SHAPE)
+    settled = None
+    while True:
+        step = concentrated(vectors, going, share, salts)
+        still = step.where(F.col("fall") <= SETTLED).drop("fall")
+        settled = still if settled is None else settled.unionByName(still)
+        going = step.where(F.col("fall") > SETTLED).drop("fall")
+        if going.isEmpty():
+            return settled
+
+
+def chi2_below(x: float, k: int = P) -> float:
+    """The chi-squared law's distribution function: the regularised lower incomplete gamma function as a series, whose terms fall once n exceeds x / 2."""
+    a, z = k / 2, x / 2
+    term = total = 1 / a
+    n = 0
+    while term > total * 1e-17:
+        n += 1
+        term *= z / (a + n)
+        total += term
+    return total * math.exp(-z + a * math.log(z) - math.lgamma(a))
 
 
 def chi2_quantile(p: float, k: int = P) -> float:
-    """Quantile of the chi-squared law by bisection on its distribution function."""
-
-    def below(x: float) -> float:  # regularised lower incomplete gamma, as a series
-        a, z = k / 2, x / 2
-        term = total = 1 / a
-        for n in range(1, 2000):
-            term *= z / (a + n)
-            total += term
-        return total * math.exp(-z + a * math.log(z) - math.lgamma(a))
-
+    """Quantile of the chi-squared law by bisection."""
     lo, hi = 1e-9, 500.0
-    for _ in range(200):
+    for _ in range(100):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if below(mid) < p else (lo, mid)
+        lo, hi = (mid, hi) if chi2_below(mid, k) < p else (lo, mid)
     return (lo + hi) / 2
 
 
 def consistency(share: float) -> float:
     """What the covariance of the share nearest to the mean of a normal law must be multiplied by."""
-    return share / (1 - _tail(chi2_quantile(share), P + 2)) if share < 1 else 1.0
-
-
-def _tail(x: float, k: int) -> float:
-    lo, hi = 0.0, 1.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if chi2_quantile(mid, k) < x else (lo, mid)
-    return 1 - (lo + hi) / 2
+    return share / chi2_below(chi2_quantile(share), P + 2) if share < 1 else 1.0
 
 
 def outliers(docs: DataFrame, *, share: float = 0.75, reweigh: float = 0.975, reject: float = 1 - 1e-7, least: int = 50, salts: int = 16, **columns) -> DataFrame:
@@ -192,49 +252,15 @@ def outliers(docs: DataFrame, *, share: float = 0.75, reweigh: float = 0.975, re
     group = F.when(own, F.concat_ws("\n", "lang", "source")).when(F.col("rest") >= least, F.col("lang")).otherwise(F.lit(""))
     places = sizes.select("lang", "source", group.alias("g"))
     salt = F.pmod(F.xxhash64("id", "n_words", "word_chars"), F.lit(salts)).cast("int").alias("salt")
-    salted = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     rows = stats.select("id", *names, "lang", "source", salt, *vector())
-    rows = kept(rows.join(places.select("*", salted), ["lang", "source", "salt"], "left").select("id", *names, "salt", "g", *[f"x{i}" for i in range(P)]), "vectors")
+    rows = kept(rows.join(places.select("*", every_salt(salts)), ["lang", "source", "salt"], "left").select("id", *names, "salt", "g", *[f"x{i}" for i in range(P)]), "vectors")
     vectors = rows.where("NOT base_failed").select("g", "salt", *[f"x{i}" for i in range(P)])
-
-    def near(shapes: DataFrame, starts: list[str]) -> DataFrame:
-        out = vectors.join(shapes.select("g", *[c for s in starts for c in shape_columns(s)], salted), ["g", "salt"])
-        for s in starts:
-            out = distance(out, s, f"{s}d")
-        return out
-
-    # start a: all rows; start b: the half around the medians, by spreads taken from quantiles
-    whole = F.lit(True)
-    mids = vectors.groupBy("g").agg(F.count("*").alias("total"), *[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i in range(P)])
-    first = vectors.groupBy("g").agg(*moments("a", whole)).join(mids, "g")
-    first = shape(first, "a")
-    first = first.withColumns({f"bm{i}": F.col(f"q{i}")[1] / float(UNIT) for i in range(P)})
-    spread = {f"bl{i}_{i}": F.sqrt(((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / float(UNIT) / 1.349) ** 2 + FLOOR[i] ** 2) for i in range(P)}
-    first = first.withColumns(spread | {f"bl{i}_{j}": F.lit(0.0) for j in range(P) for i in range(j + 1, P)} | {"bdet": F.lit(0.0)})
-    shapes = kept(first.select("g", "total", *shape_columns("a"), *shape_columns("b")), "shapes")
-
-    for _ in range(STEPS):
-        measured = near(shapes, ["a", "b"])
-        bins = measured.select("g", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.floor(F.log(F.col(f"{s}d") + 1e-9) * BINS).alias("bin")) for s in "ab"])).alias("x")).select("g", "x.*")
-        counts = bins.groupBy("g", "s", "bin").count()
-        upto = Window.partitionBy("g", "s").orderBy("bin")
-        all_of = Window.partitionBy("g", "s")
-        counts = counts.withColumn("before", F.sum("count").over(upto) - F.col("count")).withColumn("all", F.sum("count").over(all_of))
-        cuts = counts.where(F.col("before") < F.ceil(share * F.col("all"))).groupBy("g").agg(*[F.max(F.when(F.col("s") == s, F.col("bin"))).alias(f"{s}cut") for s in "ab"])
-        shapes = kept(shapes.join(cuts, "g"), "cuts")
-        measured = near(shapes, ["a", "b"]).join(shapes.select("g", "acut", "bcut", salted), ["g", "salt"])
-        inside = {s: F.floor(F.log(F.col(f"{s}d") + 1e-9) * BINS) <= F.col(f"{s}cut") for s in "ab"}
-        sums = measured.groupBy("g").agg(*moments("a", inside["a"]), *moments("b", inside["b"]))
-        shapes = shape(shape(sums, "a"), "b").join(shapes.select("g", "total"), "g")
-        shapes = kept(shapes.select("g", "total", *shape_columns("a"), *shape_columns("b")), "shapes")
-    # the start with the lower determinant, made consistent; then one reweighting step
-    better = F.col("adet") <= F.col("bdet")
-    raw = shapes.select("g", "total", *[F.when(better, F.col(f"a{c[1:]}")).otherwise(F.col(f"b{c[1:]}")).alias(f"r{c[1:]}") for c in shape_columns("a")])
+    raw = determinants(vectors, share=share, salts=salts)
+    # made consistent with the normal law; then one reweighting step
     factor = math.sqrt(consistency(share))
-    raw = raw.select("g", "total", *[(F.col(c) * factor if c.startswith("rl") else F.col(c)).alias(c) for c in shape_columns("r")])
-    weighed = near(raw, ["r"]).groupBy("g").agg(*moments("w", F.col("rd") <= chi2_quantile(reweigh)))
-    final = shape(weighed, "w", consistency(reweigh)).join(raw.select("g", "total"), "g")
-    final = kept(final.where(F.col("total") >= least).select("g", *shape_columns("w")), "final")
-    judged = distance(rows.join(final.select("*", salted), ["g", "salt"], "left"), "w", "d2")
+    raw = raw.select("g", "total", *[(F.col(c) * factor if c.startswith("l") else F.col(c)).alias(c) for c in SHAPE])
+    weighed = measured(vectors, raw, salts, "total").where(F.col("d2") <= chi2_quantile(reweigh)).groupBy("g", "total").agg(*moments(""))
+    final = kept(factored(covariance(weighed.where(F.col("total") >= least), "", consistency(reweigh)), "g"), "final")
+    judged = distance(rows.join(final.select("*", every_salt(salts)), ["g", "salt"], "left"), "d2")
     passes = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= chi2_quantile(reject))
     return judged.select(F.col("id").alias(id_col), *names, F.when(~F.col("base_failed"), F.col("d2")).alias("distance2"), passes.alias("kept"))
