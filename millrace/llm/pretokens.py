@@ -92,7 +92,7 @@ class _Units(_Cache):
     """What stands between two spaces to the value of it with the space before it: the sum of its pre-tokens' values.
 
     A single space before anything else always begins a pre-token, so a text falls apart there. A unit of letters is one pre-token and kept; so is one of letters with a
-    mark at its end, put together from both. Others are taken to pieces, and kept unless they go over a line's end: such are rarely met again.
+    mark at its end, put together from both. Others are taken to pieces and kept; those that go over a line's end are not: such are rarely met again.
     """
 
     def __init__(self, pieces, value: _Pretokens, add, most: int):
@@ -100,17 +100,27 @@ class _Units(_Cache):
         self.pieces, self.value, self.add = pieces, value, add
 
     def __missing__(self, unit: str):
-        if unit.isalpha():
-            value = self.old.get(unit)
-            return self.put(unit, self.value.encode(" " + unit) if value is None else value)
-        if unit[-1:] in MARKS and unit[:-1].isalpha():
-            return self.put(unit, self[unit[:-1]] + self.value[unit[-1]]) if unit[:-1] in self else self[unit[:-1]] + self.value[unit[-1]]
-        if not unit or unit[0].isspace() or unit[-1].isspace():
-            raise _Uneven
         value = self.old.get(unit)
         if value is None:
-            value = self.add(map(self.value.__getitem__, self.pieces(" " + unit)))
-        return value if "\n" in unit else self.put(unit, value)
+            if unit.isalpha():
+                value = self.value.encode(" " + unit)
+            elif unit[-1:] in MARKS and unit[:-1].isalpha():
+                value = self[unit[:-1]] + self.value[unit[-1]]
+            elif not unit or unit[0].isspace() or unit[-1].isspace():
+                raise _Uneven
+            elif "\n" in unit:
+                return self.lines(unit)
+            else:
+                value = self.add(map(self.value.__getitem__, self.pieces(" " + unit)))
+        return self.put(unit, value)
+
+    def lines(self, unit: str):
+        """The value of a unit that goes over line ends. A line end with no white space beside it is a pre-token, and what follows begins without a space."""
+        first, *rest = unit.split("\n")
+        if not all(rest) or first[-1].isspace() or any(x[0].isspace() or x[-1].isspace() for x in rest):
+            return self.add(map(self.value.__getitem__, self.pieces(" " + unit)))
+        end = self.value["\n"]
+        return self.add((self[first], *(end + (self.value[x] if x.isalpha() else self.add(map(self.value.__getitem__, self.pieces(x)))) for x in rest)))
 
     def of(self, text: str):
         first, *rest = text.split(" ")
@@ -123,7 +133,7 @@ class _Units(_Cache):
 class Encoder:
     """Counts and encodes texts in one worker. table: lengths of frequent pre-tokens (tier one)."""
 
-    def __init__(self, vocabulary: str, table: dict[str, int] | None = None, most: int = 250_000):
+    def __init__(self, vocabulary: str, table: dict[str, int] | None = None, most: int = 340_000):
         import numpy as np
 
         self.tokenizer = load(vocabulary)
@@ -132,12 +142,18 @@ class Encoder:
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         model, letters = self.tokenizer.model.tokenize, byte_letters()
+        space, width = letters[0x20], self.dtype.itemsize
 
         def tokens(pretoken: str) -> list:
+            if pretoken.isascii() and pretoken.isprintable():  # all bytes but the space stand for themselves
+                return model(pretoken.replace(" ", space))
             return model(pretoken.encode().decode("latin-1").translate(letters))
 
+        # each id's bytes once: cached values of one id share them
+        packed = [i.to_bytes(width, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
+
         self.length = _Pretokens(lambda w: len(tokens(w)), most // 4, table)
-        self.bytes = _Pretokens(lambda w: np.array([t.id for t in tokens(w)], self.dtype).tobytes(), most // 4)
+        self.bytes = _Pretokens(lambda w: b"".join([packed[t.id] for t in tokens(w)]), most // 4)
         self.length_units = _Units(self.pieces, self.length, sum, most)
         self.bytes_units = _Units(self.pieces, self.bytes, b"".join, most)
 
