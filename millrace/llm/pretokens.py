@@ -8,6 +8,7 @@ that the two regular-expression engines may class differently (unassigned in thi
 
 from __future__ import annotations
 
+import gc
 import os
 import unicodedata
 
@@ -185,7 +186,13 @@ class Encoder:
 
 def worker_encoder(vocabulary: str, packed: tuple[str, bytes] | None = None) -> Encoder:
     """This worker's encoder. packed: a table as pack_table() gives it."""
-    return held(("encoder", vocabulary, packed is not None), lambda: Encoder(vocabulary, dict(zip(packed[0].split("\0"), packed[1], strict=True)) if packed else None))
+
+    def make() -> Encoder:
+        encoder = Encoder(vocabulary, dict(zip(packed[0].split("\0"), packed[1], strict=True)) if packed else None)
+        gc.freeze()  # the tables hold no cycles: the collector needn't go through them again and again
+        return encoder
+
+    return held(("encoder", vocabulary, packed is not None), make)
 
 
 def frequent_lengths(vocabulary: str) -> dict[str, int]:
