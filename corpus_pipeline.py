@@ -20,7 +20,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more. op6's 3 bits of SimHash bind that query alone."""
+    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more, met by SimHash partitions at the distance that needs; op6's 3 bits bind that query alone."""
     return representatives(docs, width=5, similarity=0.8)
 
 

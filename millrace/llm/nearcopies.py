@@ -1,42 +1,90 @@
-"""Near copies by exact Jaccard similarity of word shingles: the filter behind the corpus pipeline.
+"""Near copies by SimHash partitions and exact Jaccard similarity of word shingles: the filter behind the corpus pipeline.
 
-Two texts link if the sets of their shingles have a Jaccard similarity of `similarity` or more. By calculation,
-64-bit SimHashes of a pair at 0.8 differ by 9.7 bits on average and by 17 or more in one of a hundred; partitions probed for so many bits prune little. Candidates
-are therefore pairs that agree in a band of MinHashes, BANDS bands of ROWS each: a pair of similarity s is missed with probability
-(1 - s^ROWS)^BANDS, 7e-5 at 0.8. Each candidate's similarity is then counted on the whole sets, so no pair below the bound links.
+Two texts link if the sets of their shingles have a Jaccard similarity of `similarity` or more. Candidates come from SimHash by the generalised pigeonhole
+principle, as in simhash.py, at the distance that such a similarity needs: 64-bit fingerprints of a pair at 0.8 differ by 9.7 bits on average and by more than DISTANCE in
+one of ten thousand. Thresholds t_i of the partitions of bits are allocated for that distance, and each text probes, in each partition, all keys within t_i flips. What is within
+DISTANCE there is compared on WIDE_BITS bits, which tell pairs of some similarity from chance; then whole sets decide, so no pair below the bound links.
 
-Equal sets are one vertex from the start. Buckets with the same members in several bands are verified once; a large one is dealt into
-blocks that meet two by two. Components are those of simhash.components.
+So many flips are too many to shuffle. Texts are dealt by the size of their sets instead (sizes of linked sets differ by the bound at most), and flips are probed where texts meet; a large
+group is dealt into blocks that meet two by two. Equal sets are one vertex from the start. Candidates' components are verified set by set, large ones in blocks again. Components of links are those of
+simhash.components.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import kept
-from millrace.llm.simhash import block_pairs, components, shingle_hashes, whole_buckets
+from millrace.llm.simhash import BITS, _flips, _unite, block_pairs, components, partitions, shingle_hashes, whole_buckets
 
-BANDS, ROWS = 24, 5
-_MIX = np.random.default_rng(11).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64)
+#: Bits that may differ of the 64 that are probed, and of the WIDE_BITS that are compared after that: measured for similarities of 0.8 and more.
+DISTANCE, WIDE_BITS, WIDE_DISTANCE = 21, 256, 72
+#: What a lookup of one flip costs, in comparisons of two keys.
+FLIP_COST = 6
+_MIX = np.random.default_rng(11).integers(1, 1 << 63, (2, WIDE_BITS // BITS - 1), np.uint64)
 _XOR, _TIMES = _MIX[0], _MIX[1] * np.uint64(2) + np.uint64(1)
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A signed key for each band of MinHashes of a set of shingle hashes; none for an empty set."""
-    if not len(shingles):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for lo in range(0, len(shingles), 1024):  # a long text's in pieces
-        x = shingles[lo : lo + 1024, None] ^ _XOR
-        x *= _TIMES
-        np.minimum(least, x.min(0), out=least)
-    key = np.zeros(BANDS, np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """Four words of 64 bits: simhash.fingerprint of the shingles, then the same of their hashes mixed three ways."""
+    n = len(shingles)
+    ones = np.zeros(WIDE_BITS, np.int64)
+    for lo in range(0, n, 255):  # sums that a byte holds
+        h = shingles[lo : lo + 255, None]
+        x = (h ^ _XOR) * _TIMES
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(np.hstack([h, x]).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
+
+
+def keys_of(fp: np.ndarray, group: list[int]) -> np.ndarray:
+    """The bits of a group, moved together."""
+    key = np.zeros(len(fp), np.uint64)
+    for i, b in enumerate(group):
+        key |= (fp >> np.uint64(b) & np.uint64(1)) << np.uint64(i)
+    return key.astype(np.uint16 if len(group) <= 16 else np.uint32 if len(group) <= 32 else np.uint64)
+
+
+def probed(a: np.ndarray, b: np.ndarray, width: int, t: int, flips: np.ndarray):
+    """All places (i, j) with a[i] and b[j], keys of width bits, at most t bits apart, in pieces. Flips of a's keys are looked up among b's; where b has fewer keys than there are flips to look
+    up, its keys are run over instead."""
+    if len(b) <= FLIP_COST * len(flips):
+        for lo in range(0, len(a), step := max(1, (1 << 18) // max(1, len(b)))):
+            i, j = np.divmod(np.flatnonzero(np.bitwise_count(a[lo : lo + step, None] ^ b) <= t), len(b))
+            yield i + lo, j
+        return
+    order = np.argsort(b, kind="stable")
+    kinds, first, many = np.unique(b[order], return_index=True, return_counts=True)
+    direct = None
+    if width <= 22:  # each key's place among the kinds, or none
+        direct = np.full(1 << width, -1, np.int32)
+        direct[kinds] = np.arange(len(kinds))
+    for flip in flips:
+        x = a ^ flip.astype(a.dtype)
+        at = direct[x] if direct is not None else np.minimum(np.searchsorted(kinds, x), len(kinds) - 1)
+        i = np.flatnonzero(at >= 0 if direct is not None else kinds[at] == x)
+        if len(i):
+            n = many[at[i]]
+            yield np.repeat(i, n), order[np.arange(int(n.sum())) + np.repeat(first[at[i]] - (np.cumsum(n) - n), n)]
+
+
+def candidates(a: np.ndarray, b: np.ndarray, wide: np.ndarray, size: np.ndarray, parts: list[tuple[list[int], int, np.ndarray]], *, distance: int, similarity: float):
+    """Pairs (x of a, y of b), rows of wide (fingerprints) and size, that some partition of parts (bits, threshold, flips) brings together and that may be similar. A pair may come more than once."""
+    fp = wide[:, 0]
+    for group, t, flips in parts:
+        for i, j in probed(keys_of(fp[a], group), keys_of(fp[b], group), len(group), t, flips):
+            x, y = a[i], b[j]
+            near = np.bitwise_count(fp[x] ^ fp[y]) <= distance
+            x, y = x[near], y[near]
+            near = (np.bitwise_count(wide[x] ^ wide[y]).sum(1) <= WIDE_DISTANCE) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9) & (x != y)
+            if near.any():
+                yield x[near], y[near]
 
 
 def similar_forest(bucket: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -73,7 +121,7 @@ def _text_key(text: Column) -> Column:
 
 
 def sketches(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
-    """One row for each row of docs: id, k (hash of its text), f (digest of the shingle set), keys (of its bands)."""
+    """One row for each row of docs: id, k (hash of its text), f (digest of the shingle set), size (of the set), fp (64 bits, signed), wide (fingerprint of WIDE_BITS)."""
     rows = docs.select(F.col(id_col).alias("id"), _text_key(F.col(text_col)).alias("k"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
@@ -85,9 +133,12 @@ def sketches(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> Data
                 part = b.slice(lo, 512)
                 sets = [np.unique(shingle_hashes(t, width)) for t in part.column("text").to_pylist()]
                 prints = [xxhash.xxh3_128_digest(s.astype("<u8").tobytes()) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("k"), pa.array(prints, pa.binary()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["id", "k", "f", "keys"])
+                wide = [wide_fingerprint(s) for s in sets]
+                fp = pa.array(np.array([w[0] for w in wide], np.uint64).view(np.int64))
+                columns = [part.column("id"), part.column("k"), pa.array(prints, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), fp, pa.array([w.tobytes() for w in wide], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "k", "f", "size", "fp", "wide"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, k long, f binary, keys array<long>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, k long, f binary, size long, fp long, wide binary")
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -105,15 +156,58 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "k long, shingles binary")
 
 
-def links(vertices: DataFrame, texts: DataFrame, *, width: int, similarity: float, block: int) -> DataFrame:
-    """u, v: edges between vertices(v, keys) of which all linked ones are connected; texts(k, text) has the texts of each v.k. Sets are made again for those alone
-    that share a bucket."""
-    rows = vertices.select("v.k", F.posexplode("keys").alias("part", "key"))
-    buckets = rows.groupBy("part", "key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("members")).where("n > 1")
-    # of the bands that gather the same vertices, one
-    buckets = kept(buckets.groupBy("n", "members").agg(F.min(F.struct("part", "key")).alias("b")).select("b.part", "b.key", "n"), "buckets")
-    rows = kept(rows.join(buckets, ["part", "key"]), "members")
-    used = kept(rows.select("k").distinct(), "used")
+def candidate_links(vertices: DataFrame, *, similarity: float, distance: int, meet: int | None) -> DataFrame:
+    """u, v: edges between the k of vertices(k, fp, wide, size) such that all candidates are connected by them. Blocks hold `meet` texts or somewhat more; without it, as many as keep copies of a row few."""
+    vertices = vertices.where("size > 0")
+    n = vertices.count()
+    if n < 2:
+        return vertices.select(F.col("k").alias("u"), F.col("k").alias("v")).limit(0)
+    groups, _, thresholds = partitions(vertices, n, distance, row_cost=1)
+    parts = [(g, t, np.array(_flips(list(range(len(g))), t), np.int64).view(np.uint64)) for g, t in zip(groups, thresholds, strict=True) if t >= 0]
+    meet = meet or max(4096, n // 64)
+    # sizes of linked sets are in one class or in two that follow each other: a text meets those of its class and of the next
+    wide_class = F.floor(F.log(F.col("size").cast("double")) / -math.log(similarity * (1 - 1e-6))).cast("long")
+    rows = vertices.select("k", "size", "wide", wide_class.alias("class"))
+    each = F.explode(F.array(F.lit(0), F.lit(1))).alias("larger")
+    rows = rows.select("k", "size", "wide", "class", each).select("k", "size", "wide", "larger", F.lit(0).alias("part"), (F.col("class") - F.col("larger")).alias("key"))
+    counted = kept(rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("larger") == 0).alias("own")).where("n > 1 AND own > 0"), "sizes")
+    blocks = counted.select("key", F.when(F.col("n") > meet, F.ceil(F.col("n") / meet).cast("int")).alias("blocks"))
+    rows = rows.join(blocks, "key").withColumn("mine", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("k"), F.col("blocks"))).cast("int"))
+    rows = rows.select("k", "size", "wide", "larger", "part", "key", "mine", "blocks", F.explode(block_pairs(F.xxhash64("k"))).alias("pair")).drop("blocks")
+    n_parts = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n_parts, "part", "key", "pair").sortWithinPartitions("part", "key", "pair")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for held, bucket in whole_buckets(batches):
+            k, size, larger, mine = (held.column(c).to_numpy() for c in ("k", "size", "larger", "mine"))
+            wide = np.frombuffer(b"".join(held.column("wide").to_pylist()), "<u8").reshape(-1, WIDE_BITS // BITS)
+            root, some = np.arange(len(k)), False
+            bounds = [*np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist(), len(bucket)]
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                first, large = mine[lo:hi] == mine[lo:hi].min(), larger[lo:hi] == 1
+                here = [lo + np.flatnonzero(first & ~large), lo + np.flatnonzero(first & large), lo + np.flatnonzero(~first & ~large), lo + np.flatnonzero(~first & large)]
+                # of one block: its own class, and that with the next; of two: what stands in different ones
+                meetings = [(here[0], here[0]), (here[0], here[1])] if first.all() else [(here[0], here[2]), (here[0], here[3]), (here[2], here[1])]
+                for a, b in meetings:
+                    if len(a) and len(b):
+                        for x, y in candidates(a, b, wide, size, parts, distance=distance, similarity=similarity):
+                            root, some = _unite(root, x, y), True
+            child = np.flatnonzero(root != np.arange(len(k))) if some else []
+            if len(child):
+                yield pa.RecordBatch.from_arrays([pa.array(k[child]), pa.array(k[root[child]])], ["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def links(vertices: DataFrame, texts: DataFrame, *, width: int, similarity: float, block: int, distance: int = DISTANCE, meet: int | None = None) -> DataFrame:
+    """u, v: edges between vertices(v, fp, wide, size) such that linked ones are connected; texts(k, text) has the texts of each v.k. Sets are made again for those alone
+    that have a candidate."""
+    stars = components(candidate_links(vertices.select("v.k", "fp", "wide", "size"), similarity=similarity, distance=distance, meet=meet))
+    rows = kept(stars.select(F.col("u").alias("k"), F.col("v").alias("key")).unionAll(stars.select(F.col("v").alias("k"), F.col("v").alias("key")).distinct()), "members")
+    rows = rows.withColumn("part", F.lit(0)).join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
+    used = rows.select("k")
     sets = shingle_sets(texts.join(used, "k").dropDuplicates(["k"]), width)
     rows = rows.withColumn("blocks", F.when(F.col("n") > block, F.ceil(F.col("n") / block).cast("int")))
     rows = rows.select("k", "part", "key", F.explode(block_pairs(F.xxhash64("k"))).alias("pair")).join(sets, "k")
@@ -135,14 +229,14 @@ def links(vertices: DataFrame, texts: DataFrame, *, width: int, similarity: floa
     return edges.join(vertices.select(F.col("v.k").alias("b"), "v"), "b").select("u", "v")
 
 
-def _stars(docs: DataFrame, *, id_col: str, text_col: str, width: int = 5, similarity: float = 0.8, block: int = 512) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _stars(docs: DataFrame, *, id_col: str, text_col: str, width: int = 5, similarity: float = 0.8, block: int = 512, distance: int = DISTANCE, meet: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sketches; a vertex (v, f) for each shingle set, v its least row's none (no id), id and k; and components' edges from each vertex to its root."""
     prints = kept(sketches(docs, id_col=id_col, text_col=text_col, width=width), "sketches")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("m")
-    vertices = prints.groupBy("f").agg(least, F.first("keys").alias("keys")).select("f", "keys", F.col("m").alias("v"))
+    vertices = prints.groupBy("f").agg(least, *[F.first(c).alias(c) for c in ("size", "fp", "wide")]).select("f", "size", "fp", "wide", F.col("m").alias("v"))
     vertices = kept(vertices, "vertices")
     texts = docs.select(_text_key(F.col(text_col)).alias("k"), F.col(text_col).cast("string").alias("text"))
-    return prints, vertices, components(links(vertices, texts, width=width, similarity=similarity, block=block))
+    return prints, vertices, components(links(vertices, texts, width=width, similarity=similarity, block=block, distance=distance, meet=meet))
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

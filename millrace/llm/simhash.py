@@ -106,13 +106,13 @@ def bit_groups(correlation: np.ndarray, m: int) -> list[list[int]]:
     return groups
 
 
-def candidate_estimates(n: int, collisions: list[float], widths: list[int], distance: int) -> list[list[float]]:
+def candidate_estimates(n: int, collisions: list[float], widths: list[int], distance: int, row_cost: float = ROW_COST) -> list[list[float]]:
     """For each partition, the cost of thresholds 0 to distance: candidates to compare, and rows to move. collisions: sum of squared bucket sizes, counted over all fingerprints.
     What is above chance is taken to be clusters, an eighth of whose members are found again for each further bit that is flipped."""
     out = []
     for c, w in zip(collisions, widths, strict=True):
         chance = n * n / 2.0**w
-        by_flips = [math.comb(w, j) * (chance + max(0.0, c - chance) / 8.0**j + ROW_COST * n) for j in range(distance + 1)]
+        by_flips = [math.comb(w, j) * (chance + max(0.0, c - chance) / 8.0**j + row_cost * n) for j in range(distance + 1)]
         out.append(np.cumsum(by_flips).tolist())
     return out
 
@@ -132,8 +132,9 @@ def allocate(estimates: list[list[float]], distance: int) -> list[int]:
     return best[distance + 1][1]
 
 
-def partitions(vertices: DataFrame, n: int, distance: int, numbers: tuple[int, ...] = (4, 3, 2)) -> tuple[list[list[int]], list[int], list[int]]:
-    """Groups of bits, their masks and thresholds: of each number of partitions the best allocation, and of these the cheapest, by collisions counted over all n vertices."""
+def partitions(vertices: DataFrame, n: int, distance: int, numbers: tuple[int, ...] = (4, 3, 2), row_cost: float = ROW_COST) -> tuple[list[list[int]], list[int], list[int]]:
+    """Groups of bits, their masks and thresholds: of each number of partitions the best allocation, and of these the cheapest, by collisions counted over all n vertices. row_cost: what
+    a flip of a row costs, in comparisons."""
     correlation = _correlations(vertices)
     choices = [bit_groups(correlation, m) for m in numbers]
     every = [g for groups in choices for g in groups]
@@ -142,7 +143,7 @@ def partitions(vertices: DataFrame, n: int, distance: int, numbers: tuple[int, .
     got = {r.part: r.c for r in exact.groupBy("part", "key").count().groupBy("part").agg(F.sum(F.col("count").cast("double") ** 2).alias("c")).collect()}
     best, at = None, 0
     for groups in choices:
-        costs = candidate_estimates(n, [got.get(at + i, 0.0) for i in range(len(groups))], [len(g) for g in groups], distance)
+        costs = candidate_estimates(n, [got.get(at + i, 0.0) for i in range(len(groups))], [len(g) for g in groups], distance, row_cost)
         thresholds = allocate(costs, distance)
         cost = sum(c[t] for c, t in zip(costs, thresholds, strict=True) if t >= 0)
         if best is None or cost < best[0]:

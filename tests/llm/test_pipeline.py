@@ -63,3 +63,42 @@ def test_one_row_stays_of_each_component_without_ids_too(spark, planted):
     got = representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 4 and {(r.doc_id, r.text) for r in got if r.doc_id is not None} == {(1, b), (5, c), (5, d)}
     assert [r.text in (a, near_a) for r in got if r.doc_id is None] == [True]
+
+
+def test_candidates_come_from_partitions_of_simhash_probed_within_their_thresholds():
+    from millrace.llm import nearcopies as nc
+    from millrace.llm.simhash import _flips, fingerprint, shingle_hashes
+
+    rng = np.random.default_rng(3)
+    for width, t in ((16, 0), (16, 2), (23, 2), (16, 4)):  # few keys: run over; many: flips are looked up
+        for n in (40, 1500):
+            a, b = (rng.integers(0, 1 << width, n).astype(np.uint16 if width == 16 else np.uint32) for _ in range(2))
+            flips = np.array(_flips(list(range(width)), t), np.int64).view(np.uint64)
+            got = [(x, y) for i, j in nc.probed(a, b, width, t, flips) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            assert len(got) == len(set(got)) and set(got) == set(zip(*map(np.ndarray.tolist, np.nonzero(np.bitwise_count(a[:, None] ^ b) <= t)), strict=True))
+    text = " ".join(f"w{i}" for i in rng.integers(0, 99, 700))
+    assert int(nc.wide_fingerprint(shingle_hashes(text, 5))[0]) == fingerprint(text, 5)
+    # pairs of sets at a similarity of 0.8: within the distances, but for one in thousands
+    apart = []
+    for _ in range(2000):
+        s = rng.integers(1, 1 << 63, 90).astype(np.uint64)
+        apart.append(np.bitwise_count(nc.wide_fingerprint(s) ^ nc.wide_fingerprint(np.r_[s[:80], rng.integers(1, 1 << 63, 10).astype(np.uint64)])))
+    assert sum(x[0] > nc.DISTANCE for x in apart) <= 2 and max(int(x.sum()) for x in apart) <= nc.WIDE_DISTANCE
+
+
+def test_texts_dealt_into_blocks_by_size_meet_their_near_copies(spark, planted):
+    from pyspark.sql import functions as F
+
+    from millrace.llm import nearcopies as nc
+
+    rng = np.random.default_rng(5)
+    grown = [" ".join([*planted[0].split(), *[f"n{j}" for j in rng.integers(0, 999, n)]]) for n in (20, 40, 60, 110)]  # a chain over classes of size
+    texts = [*planted, *grown]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = nc.near_copies(docs, meet=16, block=4).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(groups(texts)))
+    # at a distance of 3 only what SimHash's partitions bring together is linked
+    prints = {r.id: int.from_bytes(bytes(r.wide)[:8], "little") for r in nc.sketches(docs, id_col="doc_id", text_col="text", width=5).where(F.col("size") > 0).collect()}
+    near = {r.doc_id: r.component_id for r in nc.near_copies(docs, distance=3).collect()}
+    assert any(near[i] != found_id for i, found_id in enumerate(groups(texts)))
+    assert all((prints[i] ^ prints[i + 1]).bit_count() > 3 or near[i + 1] == near[i] for i in range(0, 240, 3))
