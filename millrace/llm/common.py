@@ -34,18 +34,23 @@ def scratch_path(spark: SparkSession, what: str) -> str:
 
 #: Whether Spark deletes a query's shuffle files at its end; it makes them again if the query is run once more.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that go to a Python worker at once; the JVM and the worker each hold such a batch whole.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def kept(df: DataFrame, what: str) -> DataFrame:
+def kept(df: DataFrame, what: str, *, batch_rows: int | None = None) -> DataFrame:
     """df written to the scratch folder and read back: cuts its lineage, survives lost executors, and is computed once however often it is used. What was shuffled
-    for it is deleted."""
+    for it is deleted. batch_rows: how many rows its Python workers get at once at most, for large rows (default: as the session says)."""
     spark = df.sparkSession
-    path, before = scratch_path(spark, what), spark.conf.get(CLEANUP, "false")
+    path, before = scratch_path(spark, what), {CLEANUP: spark.conf.get(CLEANUP, "false"), BATCH_ROWS: spark.conf.get(BATCH_ROWS)}
     spark.conf.set(CLEANUP, "true")
+    if batch_rows:
+        spark.conf.set(BATCH_ROWS, batch_rows)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -52,6 +52,8 @@ GATES = 64
 #: Bytes of a word spelled with one set of weights.
 SEGMENT = 64
 SPELL_BITS = 20
+#: Rows that a worker gets at once: they are texts, or what partitions are asked and answer, up to megabytes each.
+LARGE_ROWS = 128
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -754,10 +756,12 @@ def _answered(asked: DataFrame, parts: int, sent, key: str, schema: str) -> Data
         sizes = [len(k) for k in keys]
         of = [chunk for chunk, _ in blobs]
         del blobs
-        kinds, where = np.unique(np.concatenate(keys).astype(np.uint64), return_inverse=True)
-        counts = np.bincount(where, np.concatenate(times), len(kinds)).astype(np.int64)
+        keys, times = np.concatenate(keys), np.concatenate(times)  # the parts are free from here on
+        kinds, where = np.unique(keys.astype(np.uint64, copy=False), return_inverse=True)
+        del keys
+        counts = np.bincount(where, times, len(kinds)).astype(np.int64)
         where = where.astype(np.int32)
-        del keys, times
+        del times
         # whole contexts together, some at a time
         fresh = np.flatnonzero(np.r_[True, kinds[1:] >> np.uint64(LOW) != kinds[:-1] >> np.uint64(LOW)])
         cuts = np.unique(np.r_[fresh[np.searchsorted(fresh, np.arange(0, len(kinds), 200_000), side="right") - 1], len(kinds)])
@@ -789,7 +793,7 @@ def language_scores(docs: DataFrame, *, learns: Column | None = None, id_col: st
     learns = F.lit(True) if learns is None else F.coalesce(learns, F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), learns.alias("learn"))
     learning = rows.where("learn").select("text")
-    counts = kept(word_counts(learning), "words")
+    counts = kept(word_counts(learning), "words", batch_rows=1024)
     texts = learning.count()
     total, vocabulary, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
     frequent = frequent_words(counts, most_words)
@@ -807,7 +811,7 @@ def language_scores(docs: DataFrame, *, learns: Column | None = None, id_col: st
     sent = context.broadcast(alphabet)
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"dest int, kind int, chunk long, data binary, ids array<{id_type}>, learn array<boolean>, size array<long>"
-    answers = kept(_answered(_ask(rows, sent, key, schema), parts, sent, key, schema), "answers")
+    answers = kept(_answered(_ask(rows, sent, key, schema), parts, sent, key, schema), "answers", batch_rows=LARGE_ROWS)
     gathered = np.zeros(ODDS * N_STATES * N_STATES)
     by_class = np.zeros(CLASSES * len(weight), np.uint32)
     for r in answers.where(F.col("kind").isin(GATHERED, CLASS_COUNTS)).select("kind", "chunk", "data").toLocalIterator():
@@ -872,7 +876,7 @@ def language_scores(docs: DataFrame, *, learns: Column | None = None, id_col: st
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts)
     by_chunk = answers.where(F.col("kind").isin(TEXTS, ANSWER)).repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
     scored = by_chunk.mapInArrow(run, f"row string, id {id_type}, learn boolean, n_bytes long, n_tokens long, known long, base double, score double, words array<binary>, times array<long>, misses array<long>")
-    scored = kept(scored, "scored")
+    scored = kept(scored, "scored", batch_rows=LARGE_ROWS)
     # the words that no worker holds: their counts are joined, new ones are spelled, and what they add is summed by row
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times", "misses")).alias("x")).select("row", F.col("x.words").alias("word"), "x.times", "x.misses")
     spell_sent = context.broadcast(spell)

@@ -220,3 +220,19 @@ def test_urls(spark):
     got = {r.page_id: (r.blocked, r.matched_entry) for r in temporal_url_filter(pages, entries).collect()}
     assert got == {1: (True, "a.b.example/x"), 2: (True, "b.example"), 3: (False, None), 4: (False, None), 5: (False, None)}
     assert temporal_url_filter(pages.limit(0), entries).count() == 0 and temporal_url_filter(pages, entries.limit(0)).where("blocked").count() == 0
+
+
+def test_workers_get_few_large_rows_at_once(spark):
+    import pyarrow as pa
+
+    from millrace.llm import lmscore
+    from millrace.llm.common import BATCH_ROWS, kept
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+
+    before = spark.conf.get(BATCH_ROWS)
+    rows = spark.range(0, 1000, 1, 2).mapInArrow(sizes, "n long")
+    got = [r.n for r in kept(rows, "sizes", batch_rows=lmscore.LARGE_ROWS).collect()]
+    assert sum(got) == 1000 and max(got) <= lmscore.LARGE_ROWS and spark.conf.get(BATCH_ROWS) == before
+    assert max(r.n for r in kept(rows, "sizes").collect()) == 500
