@@ -6,7 +6,7 @@ one of ten thousand. Thresholds t_i of the partitions of bits are allocated for
 DISTANCE there is compared on WIDE_BITS bits, which tell pairs of some similarity from chance; then whole sets decide, so no pair below the bound links.
 
 So many flips are too many to shuffle. Texts are dealt by the size of their sets instead (sizes of linked sets differ by the bound at most), and flips are probed where texts meet; a large
-group is dealt into blocks that meet two by two. Equal sets are one vertex from the start. Candidates' components are verified set by set, large ones in blocks again. Components of links are those of
+group is dealt into blocks that meet two by two, as many as keep copies of a row few. Equal sets are one vertex from the start. Candidates' components are verified set by set, large ones in blocks again. Components of links are those of
 simhash.components.
 """
 
@@ -18,13 +18,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import kept
+from millrace.llm.common import group_key, kept
 from millrace.llm.simhash import BITS, _flips, _unite, block_pairs, components, partitions, shingle_hashes, whole_buckets
 
 #: Bits that may differ of the 64 that are probed, and of the WIDE_BITS that are compared after that: measured for similarities of 0.8 and more.
 DISTANCE, WIDE_BITS, WIDE_DISTANCE = 21, 256, 72
 #: What a lookup of one flip costs, in comparisons of two keys.
 FLIP_COST = 6
+#: Blocks hold a BLOCKS-th of all texts, so that a text's copies don't grow with their number, but LEAST_MEET at least and MOST_MEET at most, which bounds a task's memory: over BLOCKS * MOST_MEET
+#: texts a copy more for each MOST_MEET of like size.
+BLOCKS, LEAST_MEET, MOST_MEET = 12, 4096, 1 << 18
+#: Pairs that are held at once.
+PIECE = 1 << 20
 _MIX = np.random.default_rng(11).integers(1, 1 << 63, (2, WIDE_BITS // BITS - 1), np.uint64)
 _XOR, _TIMES = _MIX[0], _MIX[1] * np.uint64(2) + np.uint64(1)
 
@@ -69,9 +74,14 @@ def probed(a: np.ndarray, b: np.ndarray, width: int, t: int, flips: np.ndarray):
         x = a ^ flip.astype(a.dtype)
         at = direct[x] if direct is not None else np.minimum(np.searchsorted(kinds, x), len(kinds) - 1)
         i = np.flatnonzero(at >= 0 if direct is not None else kinds[at] == x)
-        if len(i):
-            n = many[at[i]]
-            yield np.repeat(i, n), order[np.arange(int(n.sum())) + np.repeat(first[at[i]] - (np.cumsum(n) - n), n)]
+        if not len(i):
+            continue
+        n = many[at[i]]
+        pieces = (np.cumsum(n) - n) // PIECE  # of PIECE pairs, and one key's at most
+        cuts = [*np.flatnonzero(np.r_[True, pieces[1:] != pieces[:-1]]).tolist(), len(i)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            some, m = i[lo:hi], n[lo:hi]
+            yield np.repeat(some, m), order[np.arange(int(m.sum())) + np.repeat(first[at[some]] - (np.cumsum(m) - m), m)]
 
 
 def candidates(a: np.ndarray, b: np.ndarray, wide: np.ndarray, size: np.ndarray, parts: list[tuple[list[int], int, np.ndarray]], *, distance: int, similarity: float):
@@ -120,6 +130,17 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def _row_key(id_: Column, k: Column) -> Column:
+    """Id and text hash in one text, never null: a join on a struct deals rows by its fields, and a grouping by the struct deals them again."""
+    return F.concat(k.cast("string"), group_key(id_.cast("string"))).alias("_key")
+
+
+def _of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose _key is among the keys. Both are dealt by it once, whatever their sizes, and what groups by _key next finds its rows together: as a broadcast the keys would grow with the
+    input, and rows that were dealt before Spark turns to one are dealt again for the grouping."""
+    return rows.join(keys.hint("merge"), "_key", "left_semi")
+
+
 def sketches(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
     """One row for each row of docs: id, k (hash of its text), f (digest of the shingle set), size (of the set), fp (64 bits, signed), wide (fingerprint of WIDE_BITS)."""
     rows = docs.select(F.col(id_col).alias("id"), _text_key(F.col(text_col)).alias("k"), F.col(text_col).cast("string").alias("text"))
@@ -156,15 +177,14 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "k long, shingles binary")
 
 
-def candidate_links(vertices: DataFrame, *, similarity: float, distance: int, meet: int | None) -> DataFrame:
-    """u, v: edges between the k of vertices(k, fp, wide, size) such that all candidates are connected by them. Blocks hold `meet` texts or somewhat more; without it, as many as keep copies of a row few."""
-    vertices = vertices.where("size > 0")
-    n = vertices.count()
-    if n < 2:
-        return vertices.select(F.col("k").alias("u"), F.col("k").alias("v")).limit(0)
-    groups, _, thresholds = partitions(vertices, n, distance, row_cost=1)
-    parts = [(g, t, np.array(_flips(list(range(len(g))), t), np.int64).view(np.uint64)) for g, t in zip(groups, thresholds, strict=True) if t >= 0]
-    meet = meet or max(4096, n // 64)
+def meet_of(n: int) -> int:
+    """How many of n texts a block holds."""
+    return min(MOST_MEET, max(LEAST_MEET, n // BLOCKS))
+
+
+def dealt(vertices: DataFrame, meet: int, similarity: float) -> DataFrame:
+    """k, size, wide, larger, part, key, mine, pair: vertices(k, wide, size) by class of size (key) and pair of blocks, of `meet` rows or somewhat fewer, such that any two texts whose sizes allow the
+    similarity meet in one (key, pair). larger: 1 if the text stands there with the class below its own."""
     # sizes of linked sets are in one class or in two that follow each other: a text meets those of its class and of the next
     wide_class = F.floor(F.log(F.col("size").cast("double")) / -math.log(similarity * (1 - 1e-6))).cast("long")
     rows = vertices.select("k", "size", "wide", wide_class.alias("class"))
@@ -173,7 +193,18 @@ def candidate_links(vertices: DataFrame, *, similarity: float, distance: int, me
     counted = kept(rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("larger") == 0).alias("own")).where("n > 1 AND own > 0"), "sizes")
     blocks = counted.select("key", F.when(F.col("n") > meet, F.ceil(F.col("n") / meet).cast("int")).alias("blocks"))
     rows = rows.join(blocks, "key").withColumn("mine", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("k"), F.col("blocks"))).cast("int"))
-    rows = rows.select("k", "size", "wide", "larger", "part", "key", "mine", "blocks", F.explode(block_pairs(F.xxhash64("k"))).alias("pair")).drop("blocks")
+    return rows.select("k", "size", "wide", "larger", "part", "key", "mine", "blocks", F.explode(block_pairs(F.xxhash64("k"))).alias("pair")).drop("blocks")
+
+
+def candidate_links(vertices: DataFrame, *, similarity: float, distance: int, meet: int | None) -> DataFrame:
+    """u, v: edges between the k of vertices(k, fp, wide, size) such that all candidates are connected by them. Blocks hold `meet` texts or somewhat fewer; without it, as many as keep copies of a row few."""
+    vertices = vertices.where("size > 0")
+    n = vertices.count()
+    if n < 2:
+        return vertices.select(F.col("k").alias("u"), F.col("k").alias("v")).limit(0)
+    groups, _, thresholds = partitions(vertices, n, distance, row_cost=1)
+    parts = [(g, t, np.array(_flips(list(range(len(g))), t), np.int64).view(np.uint64)) for g, t in zip(groups, thresholds, strict=True) if t >= 0]
+    rows = dealt(vertices, meet or meet_of(n), similarity)
     n_parts = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n_parts, "part", "key", "pair").sortWithinPartitions("part", "key", "pair")
 
@@ -202,13 +233,13 @@ def candidate_links(vertices: DataFrame, *, similarity: float, distance: int, me
 
 
 def links(vertices: DataFrame, texts: DataFrame, *, width: int, similarity: float, block: int, distance: int = DISTANCE, meet: int | None = None) -> DataFrame:
-    """u, v: edges between vertices(v, fp, wide, size) such that linked ones are connected; texts(k, text) has the texts of each v.k. Sets are made again for those alone
+    """u, v: edges between vertices(v, fp, wide, size) such that linked ones are connected; texts(_key, k, text) has the text of each v's id and k. Sets are made again for those alone
     that have a candidate."""
     stars = components(candidate_links(vertices.select("v.k", "fp", "wide", "size"), similarity=similarity, distance=distance, meet=meet))
     rows = kept(stars.select(F.col("u").alias("k"), F.col("v").alias("key")).unionAll(stars.select(F.col("v").alias("k"), F.col("v").alias("key")).distinct()), "members")
     rows = rows.withColumn("part", F.lit(0)).join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
-    used = rows.select("k")
-    sets = shingle_sets(texts.join(used, "k").dropDuplicates(["k"]), width)
+    used = vertices.select(F.col("v.k").alias("k"), _row_key(F.col("v.id"), F.col("v.k"))).join(rows.select("k"), "k").select("_key")
+    sets = shingle_sets(_of_keys(texts, used).dropDuplicates(["_key"]).select("k", "text"), width)
     rows = rows.withColumn("blocks", F.when(F.col("n") > block, F.ceil(F.col("n") / block).cast("int")))
     rows = rows.select("k", "part", "key", F.explode(block_pairs(F.xxhash64("k"))).alias("pair")).join(sets, "k")
     n_parts = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -235,7 +266,8 @@ def _stars(docs: DataFrame, *, id_col: str, text_col: str, width: int = 5, simil
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("m")
     vertices = prints.groupBy("f").agg(least, *[F.first(c).alias(c) for c in ("size", "fp", "wide")]).select("f", "size", "fp", "wide", F.col("m").alias("v"))
     vertices = kept(vertices, "vertices")
-    texts = docs.select(_text_key(F.col(text_col)).alias("k"), F.col(text_col).cast("string").alias("text"))
+    k = _text_key(F.col(text_col))
+    texts = docs.select(_row_key(F.col(id_col), k), k.alias("k"), F.col(text_col).cast("string").alias("text"))
     return prints, vertices, components(links(vertices, texts, width=width, similarity=similarity, block=block, distance=distance, meet=meet))
 
 
@@ -251,8 +283,8 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """docs with one row of each component: one of its least id (null counts as greatest), of those that of the least text hash. Rows of one id but of different
     texts are documents of their own. The columns may have any other names."""
     _, vertices, stars = _stars(docs, id_col=id_col, text_col=text_col, **options)
-    roots = vertices.select("v").join(stars.select(F.col("u").alias("v")), "v", "left_anti").select(F.struct("v.id", "v.k").alias("_key"))
+    roots = vertices.select("v").join(stars.select(F.col("u").alias("v")), "v", "left_anti").select(_row_key(F.col("v.id"), F.col("v.k")))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(F.struct(F.col(id_col).alias("id"), _text_key(F.col(text_col)).alias("k")).alias("_key"), row).join(roots, "_key", "left_semi")
+    rows = _of_keys(docs.select(_row_key(F.col(id_col), _text_key(F.col(text_col))), row), roots)
     one = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("row")))
     return rows.withColumn("_n", one).where("_n = 1").select("row.*")

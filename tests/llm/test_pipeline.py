@@ -102,3 +102,46 @@ def test_texts_dealt_into_blocks_by_size_meet_their_near_copies(spark, planted):
     near = {r.doc_id: r.component_id for r in nc.near_copies(docs, distance=3).collect()}
     assert any(near[i] != found_id for i, found_id in enumerate(groups(texts)))
     assert all((prints[i] ^ prints[i + 1]).bit_count() > 3 or near[i + 1] == near[i] for i in range(0, 240, 3))
+
+
+def test_rows_that_are_dealt_grow_as_the_texts_do_and_lose_no_meeting(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.llm import nearcopies as nc
+
+    def made(n):  # all of one size
+        return spark.range(n).select(F.col("id").alias("k"), F.lit(100).cast("long").alias("size"), F.lit(b"\0" * 32).alias("wide"), F.xxhash64("id").alias("fp"))
+
+    def moved(n):  # what the plan of the default block size deals
+        return nc.dealt(made(n), nc.meet_of(n), 0.8).count()
+
+    assert moved(240_000) <= 2.2 * moved(120_000)
+    assert nc.meet_of(1 << 40) == nc.MOST_MEET and nc.meet_of(10) == nc.LEAST_MEET
+    sizes = [10, 11, 12, 13, 50, 55, 60, 62]
+    few = made(80).withColumn("size", F.element_at(F.array(*[F.lit(x).cast("long") for x in sizes]), (F.col("k") % 8 + 1).cast("int")))
+    at = {}
+    for r in nc.dealt(few, 6, 0.8).collect():
+        at.setdefault((r.key, r.pair), set()).add(r.k)
+    for x in range(80):
+        for y in range(x):
+            a, b = sorted((sizes[x % 8], sizes[y % 8]))
+            assert a < 0.8 * b or any({x, y} <= group for group in at.values())
+
+
+def test_pairs_of_many_equal_keys_come_in_pieces():
+    from millrace.llm import nearcopies as nc
+
+    a = np.zeros(3000, np.uint16)
+    a[:10] = 1
+    pieces = [i * 3000 + j for i, j in nc.probed(a, a, 16, 0, np.zeros(1, np.uint64))]
+    assert max(map(len, pieces)) <= nc.PIECE + len(a)
+    assert np.array_equal(np.sort(np.concatenate(pieces)), np.flatnonzero((a[:, None] == a).ravel()))
+
+
+def test_representatives_deal_the_rows_once_whatever_the_size(spark, planted):
+    from millrace.llm.nearcopies import representatives
+
+    docs = spark.createDataFrame(list(enumerate(planted)), "doc_id long, text string")
+    plan = representatives(docs)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(dealt) == 2 and all("hashpartitioning(_key#" in x for x in dealt), plan  # the rows, and the keys that stay
